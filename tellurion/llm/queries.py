@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -19,8 +20,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "limit_bytes")
 
 
+def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of whole texts under word_bpe_49k.json, written as sorted string tables and read back."""
+    from .sstable import roundtrip
+
+    return roundtrip(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts encoded by the ranks of byte_bpe_50k.tiktoken and decoded again."""
+    from .codec import decode, encode
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = encode(documents(spark, sf_dir, "doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return decode(coded, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts}
+    return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
 
 def oracle_sql() -> dict[str, str]:
