@@ -20,6 +20,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "limit_bytes")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled uniformly into 40 shards with row counts at most one apart."""
+    from .sharding import shard
+
+    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = documents(spark, sf_dir, "doc_id", "text").select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    return shard(rows, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of whole texts under word_bpe_49k.json, written as sorted string tables and read back."""
     from .sstable import roundtrip
@@ -36,6 +45,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(coded, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts stored as payload of MPEG streams, parsed back from the stored bytes."""
+    from .audio import encode_media, read_media
+
+    return read_media(encode_media(documents(spark, sf_dir, "doc_id", "text")), offsets=False).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
