@@ -20,6 +20,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "limit_bytes")
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on 3-word shingles at 85 %."""
+    from .neardup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir, "doc_id", "text"), words=3, percent=85)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents shuffled uniformly into 40 shards with row counts at most one apart."""
     from .sharding import shard
