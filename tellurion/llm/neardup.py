@@ -69,24 +69,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and 64-bit hash of each word of a byte array; words part at white space, A-Z count as a-z."""
+    value, space = _tables()
+    up, down = _powers(1 << max(12, len(data).bit_length()))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * up[: len(data)], dtype=np.uint64)])
+    part = np.concatenate([[True], space[data], [True]])
+    starts, ends = np.flatnonzero(part[:-1] & ~part[1:]), np.flatnonzero(~part[:-1] & part[1:])
+    return starts, ends, _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def shingle_sets(raw: list[bytes], words: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles of `words` words; A-Z are lower-cased, words are runs
     of bytes other than space, tab, line feed, vertical tab, form feed and carriage return. Fewer words: the whole
     sequence as one shingle; none: an empty set."""
-    value, space = _tables()
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(raw)
-    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
-    if not len(data):
-        return out
-    size = 1 << max(12, (len(data) - 1).bit_length())
-    up, down = _powers(size)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * up[: len(data)], dtype=np.uint64)])
-    part = np.concatenate([[True], space[data], [True]])
-    starts = np.flatnonzero(part[:-1] & ~part[1:])
-    ends = np.flatnonzero(~part[:-1] & part[1:])
+    starts, _, word = word_hashes(np.frombuffer(b" ".join([*raw, b""]), np.uint8))
     if not len(starts):
         return out
-    word = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     limits = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]))
     seq = np.zeros(max(0, len(word) - words + 1), np.uint64)
     for k in range(words):

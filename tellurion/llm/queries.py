@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fold
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "limit_bytes")
 
 
+def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by the line chain, learned from labels outside the held-out fifth."""
+    from .quality import classify, train
+
+    docs, labels = documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = classify(docs, train(docs, labels.where(fold("doc_id", 5) != 0)))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 3-word shingles at 85 %."""
     from .neardup import near_duplicates
