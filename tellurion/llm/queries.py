@@ -61,6 +61,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(coded, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those outside the held-out quarter."""
+    from .langid import identify, train
+
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    found = identify(docs, train(docs.where(fold("doc_id", 4) != 2)))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts stored as payload of MPEG streams, parsed back from the stored bytes."""
     from .audio import encode_media, read_media
