@@ -79,6 +79,14 @@ def op9_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it holds."""
+    from .decontam import decontaminate
+
+    found = decontaminate(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("contaminated").select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.item_id", "hit.score", "hit.overlap", "hit.start", "hit.end")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
