@@ -7,8 +7,8 @@
     encode      token ids of what is left
 
 Stages take (spark, docs, sf_dir) and work on all rows of `docs`. All but the last return the columns of `docs`; a null text
-counts as the empty one; rows with a null doc_id are dropped by the first stage, as decisions are joined back by that key.
-Rows that repeat a doc_id share one decision if their texts are equal; else each stage keeps them if any of them is kept.
+counts as the empty one, which has no language and goes. Rows with a null doc_id go in the first stage. Rows that repeat a
+doc_id count as one document in near_dedup, which keeps the one with the smallest text.
 """
 
 from __future__ import annotations
@@ -16,43 +16,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellurion.llm.codec import encode
 from tellurion.llm.common import materialize
-from tellurion.llm.decontam import decontaminate
-from tellurion.llm.langid import identify
+from tellurion.llm.decontam import keep_clean
+from tellurion.llm.langid import keep_identified
 from tellurion.llm.langid import train as train_langid
 from tellurion.llm.neardup import near_duplicates
-from tellurion.llm.quality import classify
+from tellurion.llm.quality import keep_good
 from tellurion.llm.quality import train as train_quality
 
 #: Language and quality models of the pipeline learn from all labelled rows, within the bounds of the operators' samples.
 MIN_LANGUAGE_SHARE = 0.5
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of `docs` whose id is among the few columns of decisions `kept`."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _keep(docs, classify(docs, model, threshold=0.3).where("predicted = 1"))
+    return keep_good(docs.where("doc_id is not null"), model, threshold=0.3)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, train_langid(docs))
-    return _keep(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)))
+    return keep_identified(docs, train_langid(docs), MIN_LANGUAGE_SHARE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, near_duplicates(docs, words=5, percent=80).where("kept"))
+    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy("text")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns, F.row_number().over(one).alias("_row")).where("_row = 1").drop("_row")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated"))
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

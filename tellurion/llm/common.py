@@ -59,3 +59,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def filter_rows(df: DataFrame, mask: Callable[[list[str]], list[bool]], text_col: str = "text", rows: int = 256) -> DataFrame:
+    """The rows of `df`, all its columns, whose text passes `mask` (texts -> booleans; null as the empty text); no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, rows):
+            if piece.num_rows:
+                yield piece.filter(pa.array([bool(x) for x in mask(texts(piece, text_col))]))
+
+    return df.mapInArrow(run, df.schema)

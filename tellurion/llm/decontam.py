@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import filter_rows, map_batches, texts
 from .neardup import _mix, _powers
 
 ITEMS, BLOCK, RANGES, K1, B = 20_000, 32, 64, 1.2, 0.75
@@ -197,6 +197,19 @@ def halves(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+def indexes(benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str | None = None, answer_col: str | None = None, items_per_pass: int = ITEMS):
+    """Broadcast indexes over the items, about `items_per_pass` each: a hash of the id decides the pass of an item."""
+    if question_col:
+        items = benchmark.select(benchmark[item_col].cast("long").alias("i"), F.coalesce(benchmark[question_col].cast("string"), F.lit("")).alias("q"), F.coalesce(benchmark[answer_col].cast("string"), F.lit("")).alias("a"))
+    else:
+        items = benchmark.select(benchmark[item_col].cast("long").alias("i"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("q"), F.lit(None).cast("string").alias("a"))
+    passes = max(1, -(-items.count() // items_per_pass))
+    for k in range(passes):
+        block = items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k)
+        rows = sorted({(r["i"], *(halves(r["q"]) if r["a"] is None else (r["q"], r["a"]))) for r in block.collect() if r["i"] is not None})
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, theta: float = 0.7, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str | None = None, answer_col: str | None = None, items_per_pass: int = ITEMS) -> DataFrame:
     """Per document: its id, contaminated, n_items, hits (array of item_id, score, overlap, start, end: bytes of the lower-cased text).
 
@@ -204,20 +217,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, theta: float = 0.7, ove
     executors `items_per_pass` at a time, so their size is bounded; each pass reads all documents. Null and empty texts
     have no hits; null ids are kept; repeated ids are kept as rows of their own; items that are null or have no words are left out.
     """
-    if question_col:
-        items = benchmark.select(benchmark[item_col].cast("long").alias("i"), F.coalesce(benchmark[question_col].cast("string"), F.lit("")).alias("q"), F.coalesce(benchmark[answer_col].cast("string"), F.lit("")).alias("a"))
-    else:
-        items = benchmark.select(benchmark[item_col].cast("long").alias("i"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("q"), F.lit(None).cast("string").alias("a"))
     hit = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("id", pa.int64()), ("hits", pa.list_(hit))])
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    # Blocks of items by a hash of the id; the id's own block decides, so each item is in one pass.
-    passes = max(1, -(-items.count() // items_per_pass))
-    found = None
-    for k in range(passes):
-        block = items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k)
-        rows = sorted({(r["i"], *(halves(r["q"]) if r["a"] is None else (r["q"], r["a"]))) for r in block.collect() if r["i"] is not None})
-        index = docs.sparkSession.sparkContext.broadcast(Index(rows))
+    found, passes = None, 0
+    for index in indexes(benchmark, text_col, item_col, question_col, answer_col, items_per_pass):
+        passes += 1
 
         def kernel(batch: pa.RecordBatch, index=index) -> dict:
             got = index.value.search(texts(batch), theta, overlap)
@@ -228,3 +233,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, theta: float = 0.7, ove
     if passes > 1:
         found = found.groupBy("id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
     return found.select(F.col("id").alias(id_col), (F.size("hits") > 0).alias("contaminated"), F.size("hits").alias("n_items"), "hits")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, theta: float = 0.7, overlap: float = 0.8, text_col: str = "text", items_per_pass: int = ITEMS) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no item of `benchmark`; no shuffle."""
+    for index in indexes(benchmark, items_per_pass=items_per_pass):
+        docs = filter_rows(docs, lambda own, index=index: [not hits for hits in index.value.search(own, theta, overlap)], text_col)
+    return docs

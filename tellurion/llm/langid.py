@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import filter_rows, map_batches
 
 #: Documents per language a model is fitted on at most (about; those with the smallest hashes of their id).
 MAX_DOCS = 1500
@@ -237,3 +237,8 @@ def _own(model: Model) -> Model:
     """One copy of a model per process, so that its memo of words lasts over tasks."""
     key = model.table[:, ::97].tobytes() + "|".join(model.langs).encode()
     return _MODELS.setdefault(key, model)
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, with letters of which one language has the share `least` or more; no shuffle."""
+    return filter_rows(docs, lambda own: [lang != "und" and score >= least for lang, score, _ in _own(model).predict(own)], text_col)

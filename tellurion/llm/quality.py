@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import filter_rows, map_batches, texts
 from .neardup import word_hashes
 
 #: Labelled documents a model is fitted on at most, those with the smallest hash of their id.
@@ -193,3 +193,8 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str
 
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     return map_batches(source, kernel, "id long, score double, predicted int", schema, 256).withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that `classify` predicts 1 for; no shuffle."""
+    return filter_rows(docs, lambda own: model.score(own) >= threshold, text_col)
