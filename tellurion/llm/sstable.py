@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -31,6 +33,8 @@ MAGIC, BLOCK_BYTES, PROBES, BITS_PER_KEY = b"TLRNSST1", 1 << 18, 7, 10
 _FOOTER = struct.Struct("<QQQQQQQ8s")
 #: Words whose ids are kept per process; a bound of memory only.
 MEMO_WORDS = 300_000
+_FAMILY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 def _filesystem(uri: str):
@@ -182,10 +186,32 @@ class WordEncoder:
         self.kind = "<u2" if self.width == 2 else "<u4"
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        # The short way holds for this family only: lower-casing, the pattern below, whole words.
+        text = open(path, encoding="utf-8").read()
+        self.simple = '"Lowercase"' in text and json.dumps(_FAMILY)[1:-1] in text
+
+    def _plain(self, word: str) -> bytes:
+        """A printable ASCII word: lower-cased and split as the tokenizer does, each part through its model alone."""
+        out, parts = [], self.parts
+        for part in _PLAIN.findall(word.lower()):
+            ids = parts.get(part)
+            if ids is None:
+                if len(parts) >= MEMO_WORDS:
+                    parts.clear()
+                ids = parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(part)], self.kind).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def _fill(self, wanted: list[str]) -> None:
-        for k in range(0, len(wanted), 4096):
-            group = wanted[k : k + 4096]
+        odd = []
+        for word in wanted:
+            if self.simple and word.isascii() and word.isprintable() and "<|" not in word:
+                self.words[word] = self._plain(word)
+            else:
+                odd.append(word)
+        for k in range(0, len(odd), 4096):
+            group = odd[k : k + 4096]
             for word, got in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
                 self.words[word] = np.array(got.ids, self.kind).tobytes()
 
