@@ -7,9 +7,9 @@
    count that a pair at the similarity threshold misses with a chance under `miss`.
 3. Prefix: of s remaining coordinates, ordered by rarity, a pair with m collisions must share one of the s - m + 1
    rarest, so only these posting lists are merged.
-4. Skip: in each list the member whose values are commonest is the hub. Members are first checked against hubs alone; lists whose
-   members are then in one component need no more. In the others, pairs across components are compared by
-   signatures in blocks of bounded size, and go on only with m collisions.
+4. Skip: in each list the member whose values are commonest is the hub. Members are first checked against hubs alone, and
+   linked ones are contracted. Lists within one component are then skipped; in the others, members outside the hub's
+   component meet its members, and each other, in cells of bounded size, which give one link per pair of components.
 5. Every link is confirmed on the full sets, and components are contracted by alternating large and small stars.
 
 No list is emitted as pairs, and nothing about documents is collected to the driver.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, pieces, texts
 
-COORDINATES, BLOCK = 64, 512
+COORDINATES, BLOCK, BROADCAST_IDS = 64, 512, 2_000_000
 _POWER, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 
 
@@ -176,41 +176,62 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         state = fresh
 
 
-def _compare(rows: DataFrame, m: int, percent: int) -> DataFrame:
-    """Pairs (a, b) across components with m collisions, from rows (h, i, j, rep, n, comp, sig, side) sorted by block."""
+class _Roots(dict):
+    def find(self, x: int) -> int:
+        while (up := self.setdefault(x, x)) != x:
+            self[x] = self[up] if self[up] != up else up
+            x = up
+        return x
+
+
+def _cell_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between the sides of one cell, at most one per pair of components, exact on the full sets.
+
+    Rows are (rep, comp, side, set); side 0 meets side 1, side 2 meets all."""
+    left, right = [r for r in rows if r[2] != 1], [r for r in rows if r[2] != 0]
+    if not left or not right:
+        return []
+    flat = np.concatenate([r[3] for r in right])
+    size = np.array([len(r[3]) for r in right], np.int64)
+    at, comp = np.concatenate([[0], np.cumsum(size)[:-1]]), np.array([r[1] for r in right], np.int64)
+    roots, found = _Roots(), []
+    for rep, own, _, hashes in left:
+        near = (comp != own) & (np.minimum(size, len(hashes)) * 100 >= np.maximum(size, len(hashes)) * percent)
+        if not near.any():
+            continue
+        spot = np.searchsorted(hashes, flat)
+        spot[spot == len(hashes)] = 0
+        both = np.add.reduceat((hashes[spot] == flat).astype(np.int64), at)
+        for k in np.flatnonzero(near & (both * 100 >= (size + len(hashes) - both) * percent)).tolist():
+            x, y = roots.find(own), roots.find(int(comp[k]))
+            if x != y:
+                roots[max(x, y)] = min(x, y)
+                found.append((max(rep, right[k][0]), min(rep, right[k][0])))
+    return found
+
+
+def _compare(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from rows (g, i, j, rep, comp, side, hashes) sorted by cell (g, i, j)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(members: list[tuple]) -> list[tuple[int, int]]:
-        left, right = [r for r in members if r[5] != 1], [r for r in members if r[5] != 0]
-        if not left or not right:
-            return []
-        sig = np.array([r[4] for r in right], np.int32)
-        n, comp, rep = (np.array([r[x] for r in right], np.int64) for x in (2, 3, 1))
-        found = []
-        for r in left:
-            near = np.flatnonzero((comp != r[3]) & (np.minimum(n, r[2]) * 100 >= np.maximum(n, r[2]) * percent))
-            if len(near):
-                hit = near[(sig[near] == np.array(r[4], np.int32)).sum(1) >= m]
-                found += [(max(r[1], int(x)), min(r[1], int(x))) for x in rep[hit]]
-        return found
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, found = None, [], set()
-        for piece in pieces(batches, 2048):
-            cols = [piece.column(c).to_pylist() for c in ("h", "i", "j", "rep", "n", "comp", "sig", "side")]
-            for h, i, j, *rest in zip(*cols):
-                if (h, i, j) != key:
-                    found.update(pairs(members))
-                    key, members = (h, i, j), []
-                    if len(found) > 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
-                        found = set()
-                members.append((h, *rest))
-        found.update(pairs(members))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
-
-    return rows.mapInArrow(run, "a long, b long")
+        key, members = None, []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            found = _cell_links(members, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+
+        for piece in pieces(batches, 1024):
+            cols = [piece.column(c).to_pylist() for c in ("g", "i", "j", "rep", "comp", "side")]
+            for *now, rep, comp, side, hashes in zip(*cols, piece.column("hashes")):
+                if now != key:
+                    yield from ended()
+                    key, members = now, []
+                members.append((rep, comp, side, np.sort(hashes.values.to_numpy())))
+        yield from ended()
+
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,30 +253,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     prefix = lists.select("rep", F.expr("aggregate(own, 0L, (s, x) -> s + x.df)").alias("weight"), F.explode(F.expr(f"slice(own, 1, size(own) - {m} + 1)")).alias("e")).select("rep", "weight", F.col("e.h").alias("h"))
     prefix = materialize(prefix.join(reps.select("rep", "n"), "rep"), "prefixes")
 
+    sets = materialize(_sets_of(_only(source, prefix.select(F.col("rep").alias("doc_id")).distinct()), words), "sets")
+
     hubs = prefix.groupBy("h").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("hub"), F.count("*").alias("members")).where("members > 1")
     fits = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
     stars = prefix.join(hubs, "h").where(fits & (F.col("rep") != F.col("hub.rep"))).select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct()
-    first = _confirm(source, reps, stars, words, percent, "stars")
+    first = _confirm(stars, sets, percent, "stars")
     roots = components(first, "components")
 
-    placed = prefix.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root", "weight")
-    placed = materialize(placed, "placed")
-    split = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    # The hub's component is the list's core: its members are compared with those outside only.
-    core = hubs.select("h", F.col("hub.rep").alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("root", "rep").alias("core"))
-    open_lists = placed.join(split.join(core, "h").select("h", "members", "core"), "h")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int")
-    dealt = open_lists.withColumn("own", own).withColumn("outside", F.col("comp") != F.col("core"))
-    cells = dealt.select("h", "rep", "n", "comp", F.explode(F.expr(
-        f"concat(if(outside, transform(sequence(0, cast(ceil(members / {BLOCK}) as int) - 1), j -> named_struct('i', own, 'j', j, 'side', 0)), array()),"
-        f" transform(sequence(0, cast(ceil(members / {BLOCK}) as int) - 1), i -> named_struct('i', i, 'j', own, 'side', 1)))"
-    )).alias("cell")).select("h", "cell.*", "rep", "n", "comp")
-    # Cells without a member on the left side compare nothing.
-    used = dealt.where("outside").select("h", F.col("own").alias("i")).distinct()
-    cells = cells.join(used, ["h", "i"], "left_semi").join(reps.select("rep", "sig"), "rep")
-    near = _compare(cells.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"), m, percent).distinct()
-    second = _confirm(source, reps, near, words, percent, "cross")
+    member = prefix.select("rep").distinct().join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp"))
+    member = materialize(member, "members")
+    placed = prefix.select("h", "rep").join(member, "rep")
+    core = hubs.select("h", F.col("hub.rep").alias("rep")).join(member, "rep").select("h", F.col("comp").alias("core"))
+    outside = materialize(placed.join(core, "h").where("comp <> core").select("h", "rep", "comp", "core"), "outside")
+
+    # Who is outside the core of one of its lists meets the core's members, once per core ...
+    meet = outside.select("rep", "comp", F.col("core").alias("g")).distinct()
+    wide = meet.groupBy("g").agg(F.count("*").alias("guests")).join(member.groupBy(F.col("comp").alias("g")).agg(F.count("*").alias("hosts")), "g")
+    cells_of = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("rep", F.lit(7)), cells_of(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), cells_of(c) - 1))
+    guests = meet.join(wide, "g").select("g", own("guests").alias("i"), every("hosts").alias("j"), "rep", "comp", F.lit(0).alias("side"))
+    hosts = member.withColumn("g", F.col("comp")).join(wide, "g").select("g", every("guests").alias("i"), own("hosts").alias("j"), "rep", "comp", F.lit(1).alias("side"))
+    near = _compare(guests.unionByName(hosts).join(sets.withColumnRenamed("doc_id", "rep"), "rep"), percent)
+    # ... and the others outside, list by list, in pairs of blocks.
+    lists = outside.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    block = outside.select(F.col("h").alias("g"), "rep", "comp").join(lists, "g").withColumn("own", own("all"))
+    cells = block.select("g", "rep", "comp", "own", every("all").alias("k")).select(
+        "g", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "rep", "comp", F.when(F.col("own") == F.col("k"), 2).when(F.col("own") < F.col("k"), 0).otherwise(1).alias("side")
+    )
+    rest = _compare(cells.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), percent)
+    second = materialize(near.unionByName(rest).distinct(), "links")
     final = components(first.unionByName(second), "components")
 
     named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
@@ -263,12 +291,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).withColumnRenamed("doc_id", id_col)
 
 
-def _confirm(source: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+def _only(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of `source` for each wanted doc_id. Up to `BROADCAST_IDS` ids, counted first, are broadcast, so that texts
+    stay where they are; more are joined by a shuffle."""
+    wanted = materialize(wanted, "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    return source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs whose full sets are similar enough, as a written table."""
-    pairs = materialize(pairs, f"{name}-candidates")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts_of = source.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(_sets_of(texts_of, words), f"{name}-sets")
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     checked = pairs.join(left, "a").join(right, "b").select("a", "b", (both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).alias("linked"))
