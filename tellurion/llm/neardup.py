@@ -6,11 +6,12 @@
    cannot collide and go; who keeps fewer than m coordinates cannot reach m collisions and goes too. m is the largest
    count that a pair at the similarity threshold misses with a chance under `miss`.
 3. Prefix: of s remaining coordinates, ordered by rarity, a pair with m collisions must share one of the s - m + 1
-   rarest, so only these posting lists are merged.
+   rarest, so only these posting lists are merged. Documents that meet in one have their collisions counted over all
+   coordinates, and are a match from m on.
 4. Skip: in each list the member whose values are commonest is the hub. Members are first checked against hubs alone, and
    linked ones are contracted. Lists within one component are then skipped; in the others, members outside the hub's
    component meet its members, and each other, in cells of bounded size, which give one link per pair of components.
-5. Every link is confirmed on the full sets, and components are contracted by alternating large and small stars.
+5. Every match is confirmed on the full sets, and components are contracted by alternating large and small stars.
 
 No list is emitted as pairs, and nothing about documents is collected to the driver.
 """
@@ -184,51 +185,50 @@ class _Roots(dict):
         return x
 
 
-def _cell_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links between the sides of one cell, at most one per pair of components, exact on the full sets.
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets of distinct values reach the similarity."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * 100 >= (len(x) + len(y) - both) * percent
 
-    Rows are (rep, comp, side, set); side 0 meets side 1, side 2 meets all."""
+
+def _cell_links(rows: list[tuple], percent: int, least: int) -> list[tuple[int, int]]:
+    """Links between the sides of one cell, at most one per pair of components: `least` collisions of the signatures,
+    then exact on the full sets.
+
+    Rows are (rep, comp, side, set, signature); side 0 meets side 1, side 2 meets all."""
     left, right = [r for r in rows if r[2] != 1], [r for r in rows if r[2] != 0]
     if not left or not right:
         return []
-    flat = np.concatenate([r[3] for r in right])
-    size = np.array([len(r[3]) for r in right], np.int64)
-    at, comp = np.concatenate([[0], np.cumsum(size)[:-1]]), np.array([r[1] for r in right], np.int64)
+    signed, comp = np.stack([r[4] for r in right]), np.array([r[1] for r in right], np.int64)
     roots, found = _Roots(), []
-    for rep, own, _, hashes in left:
-        near = (comp != own) & (np.minimum(size, len(hashes)) * 100 >= np.maximum(size, len(hashes)) * percent)
-        if not near.any():
-            continue
-        spot = np.searchsorted(hashes, flat)
-        spot[spot == len(hashes)] = 0
-        both = np.add.reduceat((hashes[spot] == flat).astype(np.int64), at)
-        for k in np.flatnonzero(near & (both * 100 >= (size + len(hashes) - both) * percent)).tolist():
+    for rep, own, _, hashes, sig in left:
+        for k in np.flatnonzero((comp != own) & ((signed == sig).sum(1) >= least)).tolist():
             x, y = roots.find(own), roots.find(int(comp[k]))
-            if x != y:
+            if x != y and _similar(hashes, right[k][3], percent):
                 roots[max(x, y)] = min(x, y)
                 found.append((max(rep, right[k][0]), min(rep, right[k][0])))
     return found
 
 
-def _compare(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) from rows (g, i, j, rep, comp, side, hashes) sorted by cell (g, i, j)."""
+def _compare(rows: DataFrame, percent: int, least: int) -> DataFrame:
+    """Links (a, b) from rows (g, i, j, rep, comp, side, hashes, sig) sorted by cell (g, i, j)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
 
         def ended() -> Iterator[pa.RecordBatch]:
-            found = _cell_links(members, percent)
+            found = _cell_links(members, percent, least)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
 
         for piece in pieces(batches, 1024):
             cols = [piece.column(c).to_pylist() for c in ("g", "i", "j", "rep", "comp", "side")]
-            for *now, rep, comp, side, hashes in zip(*cols, piece.column("hashes")):
+            for *now, rep, comp, side, hashes, sig in zip(*cols, piece.column("hashes"), piece.column("sig")):
                 if now != key:
                     yield from ended()
                     key, members = now, []
-                members.append((rep, comp, side, np.sort(hashes.values.to_numpy())))
+                members.append((rep, comp, side, hashes.values.to_numpy(), sig.values.to_numpy()))
         yield from ended()
 
     return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     hubs = prefix.groupBy("h").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("hub"), F.count("*").alias("members")).where("members > 1")
     fits = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
     stars = prefix.join(hubs, "h").where(fits & (F.col("rep") != F.col("hub.rep"))).select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct()
-    first = _confirm(stars, sets, percent, "stars")
+    first = _confirm(_matches(stars, reps, m), sets, percent, "stars")
     roots = components(first, "components")
 
     member = prefix.select("rep").distinct().join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp"))
@@ -275,14 +275,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     every = lambda c: F.explode(F.sequence(F.lit(0), cells_of(c) - 1))
     guests = meet.join(wide, "g").select("g", own("guests").alias("i"), every("hosts").alias("j"), "rep", "comp", F.lit(0).alias("side"))
     hosts = member.withColumn("g", F.col("comp")).join(wide, "g").select("g", every("guests").alias("i"), own("hosts").alias("j"), "rep", "comp", F.lit(1).alias("side"))
-    near = _compare(guests.unionByName(hosts).join(sets.withColumnRenamed("doc_id", "rep"), "rep"), percent)
+    whole = lambda cells: cells.join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    near = _compare(whole(guests.unionByName(hosts)), percent, m)
     # ... and the others outside, list by list, in pairs of blocks.
     lists = outside.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     block = outside.select(F.col("h").alias("g"), "rep", "comp").join(lists, "g").withColumn("own", own("all"))
     cells = block.select("g", "rep", "comp", "own", every("all").alias("k")).select(
         "g", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "rep", "comp", F.when(F.col("own") == F.col("k"), 2).when(F.col("own") < F.col("k"), 0).otherwise(1).alias("side")
     )
-    rest = _compare(cells.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), percent)
+    rest = _compare(whole(cells), percent, m)
     second = materialize(near.unionByName(rest).distinct(), "links")
     final = components(first.unionByName(second), "components")
 
@@ -299,6 +300,13 @@ def _only(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
+def _matches(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """The pairs whose signatures collide in `least` coordinates or more."""
+    left, right = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    collisions = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
+    return pairs.join(left, "a").join(right, "b").where(collisions >= least).select("a", "b")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs whose full sets are similar enough, as a written table."""
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"s{x}")) for x in "ab")

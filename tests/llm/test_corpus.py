@@ -76,7 +76,8 @@ def test_near_duplicates_of_awkward_rows(awkward, nothing):
 
 def test_cells_skip_nothing():
     sets = [np.array(sorted(x), np.uint64).view(np.int64) for x in ({1, 2, 3, 4, 5, 6, 7}, {1, 2, 3, 4, 5, 6, 7, 8}, {1, 2, 9}, {20})]
-    assert neardup._cell_links([(k, k, 2, s) for k, s in enumerate(sets)], 80) == [(1, 0)]
+    rows = [(k, k, 2, s, sig) for k, (s, sig) in enumerate(zip(sets, neardup.signatures([s.view(np.uint64) for s in sets], 64).view(np.int32)))]
+    assert neardup._cell_links(rows, 80, neardup.least_collisions(64, 80)) == [(1, 0)]
 
 
 def test_least_collisions():
