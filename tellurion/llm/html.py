@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from .common import map_batches
 
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul video audio canvas svg math button label".split())
+_HEAD = frozenset("html head body title noscript template object frameset".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style"))
 _NEVER = frozenset("head script style title noscript template iframe object svg math canvas select option textarea button form nav menu dialog audio video".split())
@@ -61,6 +63,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", frozenset(), None, 0, 0)
         self.nodes, self.open, self.text, self.links, self.raw = [self.root], [self.root], [], 0, 0
+        self.held: Counter[str] = Counter()  # open nodes by tag
 
     def _flush(self) -> None:
         if self.text:
@@ -70,14 +73,21 @@ class _Builder(HTMLParser):
             self.text = []
 
     def _pop(self, tags: tuple[str, ...], until: tuple[str, ...]) -> None:
+        if not any(self.held[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
                 self._flush()
-                del self.open[k:]
+                self._close(k)
                 return
             if self.open[k].tag in until:
                 return
 
+    def _close(self, k: int) -> None:
+        for node in self.open[k:]:
+            self.held[node.tag] -= 1
+        del self.open[k:]
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in _RAW:
             self.raw += 1
@@ -88,16 +98,19 @@ class _Builder(HTMLParser):
             self.text.append(("" if tag == "wbr" else " ", False))
         if tag not in _BLOCKS:
             return
+        if tag not in _HEAD and not self.held["body"]:  # the body's own tag may be left out
+            self._pop(("head",), ())
+            self.handle_starttag("body", [])
         if tag in _CLOSES_P:
             self._pop(("p",), ("td", "th", "button"))
         if tag in _SAME:
             own, until = _SAME[tag]
             self._pop(tuple(own.split()), until)
         self._flush()
-        if tag in ("html", "hr") or (tag == "body" and any(n.tag == "body" for n in self.open)):
+        if tag in ("html", "hr") or (tag == "body" and self.held["body"]):
             return
         if tag == "body":
-            del self.open[1:]
+            self._close(1)
         groups, hidden = set(), False
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
@@ -111,6 +124,7 @@ class _Builder(HTMLParser):
         self.nodes.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.held[node.tag] += 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -123,9 +137,8 @@ class _Builder(HTMLParser):
         elif tag == "a":
             self.links = max(0, self.links - 1)
         elif tag in _BLOCKS and tag != "html":
-            kind = next((n.tag for n in reversed(self.open[1:]) if n.tag in (tag, "template")), None)
-            if kind is not None:
-                self._pop((tag, "template") if kind == "template" else (tag,), ())
+            if self.held[tag] or self.held["template"]:
+                self._pop((tag, "template"), ())
             else:
                 self._flush()
 
@@ -164,17 +177,23 @@ def features(nodes: list[Node]) -> np.ndarray:
                 links[i] += min(item[1], len(item[0]))
                 stops[i] += item[0].count(".") + item[0].count(",")
     total, k = max(1.0, chars[0]), len(_TAGS)
+    place, count, weight = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n)  # among the siblings
+    weight[0] = chars[0]
+    for node in nodes:
+        own = [c.order for c in node.children()]
+        place[own] = np.arange(len(own))
+        count[own], weight[own] = len(own), chars[own].sum()
     for i, node in enumerate(nodes):
         row = x[i]
         if node.tag in _TAGS:
             row[_TAGS.index(node.tag)] = 1
         for g in node.groups:
             row[k + g] = 1
-        up, kin = node.parent, node.parent.children() if node.parent else [node]
-        at = kin.index(node) if len(kin) < 50 else 25
+        up, kin = node.parent, count[i]
+        at = place[i] if kin < 50 else 25
         row[k + 8 : k + 20] = (
             node.depth / 10, np.log1p(chars[i]), links[i] / max(1.0, chars[i]), tags[i] * 20 / max(20.0, chars[i]), own_chars[i] / max(1.0, chars[i]), chars[i] / total,
-            paragraphs[i] / 10, stops[i] * 20 / max(20.0, chars[i]), at / max(1, len(kin)), min(len(kin), 20) / 20, sum(chars[s.order] for s in kin) / total, node.tag in _NEVER,
+            paragraphs[i] / 10, stops[i] * 20 / max(20.0, chars[i]), at / kin, min(kin, 20) / 20, weight[i] / total, node.tag in _NEVER,
         )
         if up:
             for g in up.groups:
@@ -294,7 +313,7 @@ def synthetic_pages(count: int, seed: int = 11) -> list[str]:
         talk = box("talk", f"<h3>{_words(rng, 1)}</h3>" + "".join(name("<div class='comment'>", "<li>", "<p>", "<article class='comment'>") + _words(rng, rng.randint(3, 40)) for _ in range(rng.randint(1, 4))), name("div", "section"))
         inside = rng.random() < 0.3
         body = "".join(inner) + (talk if inside else "")
-        body = rng.choice((f"<article>{body}</article>", f"<article>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", box("main", body), f"<div><section>{body}</section></div>", f'<div role="main">{body}</div>'))
+        body = rng.choice((f"<article>{body}</article>", f"<article>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", box("main", body), f"<div><section>{body}</section></div>", f'<div role="main">{body}</div>', body))
         around = []
         if rng.random() < 0.8:
             around.append(name("<nav>" + links(rng.randint(3, 8)) + "</nav>", box("menu", links(rng.randint(3, 8))), "<header>" + links(4) + "</header>", f"<header><p>{_words(rng, 4)}</p></header>", box("edge", f"<p>{_words(rng, 5)}</p>")))
