@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import neardup
 from .common import filter_rows, map_batches, texts
-from .neardup import _mix, _powers
+from .neardup import _mix
 
 ITEMS, BLOCK, RANGES, K1, B = 20_000, 32, 64, 1.2, 0.75
 
@@ -36,12 +37,7 @@ _VALUE, _PART = _lut()
 
 def word_hashes(text_bytes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end and hash of each word: runs of ASCII letters, digits and non-ASCII bytes of lower-cased text."""
-    data = np.frombuffer(text_bytes, np.uint8)
-    up, down = _powers(1 << max(12, len(data).bit_length()))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * up[: len(data)], dtype=np.uint64)])
-    part = np.concatenate([[True], _PART[data], [True]])
-    starts, ends = np.flatnonzero(part[:-1] & ~part[1:]), np.flatnonzero(~part[:-1] & part[1:])
-    return starts, ends, _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return neardup.word_hashes(np.frombuffer(text_bytes, np.uint8), (_VALUE, _PART))
 
 
 def _shingles(words: np.ndarray, n: int) -> np.ndarray:

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialize, pieces, texts
 
 COORDINATES, BLOCK, BROADCAST_IDS = 64, 512, 2_000_000
+#: Bytes that words are hashed of at once; a bound of memory only.
+PIECE = (1 << 18) - 1
 _POWER, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 
 
@@ -70,13 +72,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end and 64-bit hash of each word of a byte array; words part at white space, A-Z count as a-z."""
-    value, space = _tables()
-    up, down = _powers(1 << max(12, len(data).bit_length()))
+def word_hashes(data: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and 64-bit hash of each word of a byte array. `tables` has a value of each byte and which bytes part
+    words; without it words part at white space and A-Z count as a-z. Long arrays are hashed piece by piece, cut between words."""
+    value, part = tables or _tables()
+    found, at = [], 0
+    while True:
+        end = min(at + PIECE, len(data))
+        while end < len(data):
+            gaps = np.flatnonzero(part[data[at if end == at + PIECE else end - PIECE : end]])
+            if len(gaps):
+                end = (at if end == at + PIECE else end - PIECE) + int(gaps[-1]) + 1
+                break
+            end = min(end + PIECE, len(data))
+        found.append([x + y for x, y in zip(_hash_piece(data[at:end], value, part), (at, at, np.uint64(0)))])
+        at = end
+        if at >= len(data):
+            return tuple(np.concatenate(x) for x in zip(*found)) if len(found) > 1 else tuple(found[0])
+
+
+def _hash_piece(data: np.ndarray, value: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    up, down = _powers(1 << max(18, len(data).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * up[: len(data)], dtype=np.uint64)])
-    part = np.concatenate([[True], space[data], [True]])
-    starts, ends = np.flatnonzero(part[:-1] & ~part[1:]), np.flatnonzero(~part[:-1] & part[1:])
+    gap = np.concatenate([[True], part[data], [True]])
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
     return starts, ends, _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

@@ -81,6 +81,11 @@ def line_features(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([own, before, after, np.ones((len(flat), 1), np.float32)], axis=1), size, counts
 
 
+def _gathered(docs: list[str], rows: int = 128) -> tuple[np.ndarray, ...]:
+    """`line_features`, some documents at a time, so that what is computed per byte stays small."""
+    return tuple(np.concatenate(x) for x in zip(*(line_features(docs[k : k + rows]) for k in range(0, len(docs), rows))))
+
+
 def _order(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents by falling length, their first lines, and how many have more than t lines, for each t."""
     by = np.argsort(-counts, kind="stable")
@@ -126,7 +131,7 @@ class Model:
     offset: float
 
     def raw(self, docs: list[str]) -> np.ndarray:
-        x, size, counts = line_features(docs)
+        x, size, counts = _gathered(docs)
         good, _, _ = marginals(x @ self.weights, self.trans, counts)
         firsts = np.cumsum(np.concatenate([[0], counts[:-1]]))
         weight = size + 1.0
@@ -143,7 +148,7 @@ def fit_model(docs: list[str], labels: list[int], rounds: int = 150, l2: float =
     if not len(y) or y.min() == y.max():
         only = float(y[0]) if len(y) else 0.5
         return Model(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, 20 * (2 * only - 1) if len(y) else 0.0)
-    x, _, counts = line_features(docs)
+    x, _, counts = _gathered(docs)
     x = x.astype(np.float64)
     state = np.repeat(y, counts)
     inner = np.ones(len(x), bool)
