@@ -9,7 +9,6 @@ back to bytes by the inverse mapping.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import struct
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts
+from .common import held, map_batches, texts
 from .tokens import byte_chars
 
 #: Words whose ids are kept per process; a bound of memory only.
@@ -116,9 +115,8 @@ class Codec:
         return b"".join([raw[i] for i in ids])
 
 
-@functools.cache
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,6 +33,18 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema:
     return df.mapInArrow(run, schema)
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What `make` gives for `key`, kept until this process asks for another key: of models with memos of words, a Python
+    worker that serves many stages and operators holds one at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's texts, null as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_batches
+from .common import filter_rows, held, map_batches
 
 #: Documents per language a model is fitted on at most (about; those with the smallest hashes of their id).
 MAX_DOCS = 1500
 BUCKETS, ORDERS, PENALTY, MEMO_WORDS = 1 << 16, 4, 6.0, 300_000
+#: Words whose n-grams are computed at once; a bound of memory only.
+WORDS = 16_384
 _WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges and the script's number from there on (0: common or Latin extensions' gaps).
 _SCRIPTS = [(0x0, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xA00, 9), (0xA80, 10), (0xB00, 11), (0xB80, 12), (0xC00, 13), (0xC80, 14), (0xD00, 15), (0xE00, 16), (0xE80, 17), (0x1000, 18), (0x10A0, 19), (0x1100, 20), (0x1200, 21), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 22), (0x30A0, 23), (0x3100, 0), (0x3400, 24), (0xA000, 0), (0xAC00, 20), (0xD7B0, 0), (0xF900, 24), (0xFB00, 0)]
@@ -94,7 +96,9 @@ class Model:
         if len(self.index) > MEMO_WORDS:
             self.index.clear()
         known = self.index
-        self._learn(list(dict.fromkeys(w for words in docs for w in words if w not in known)))
+        new = list(dict.fromkeys(w for words in docs for w in words if w not in known))
+        for k in range(0, len(new), WORDS):
+            self._learn(new[k : k + WORDS])
         self.ids = [np.array([known[w] for w in words], np.int64) for words in docs]
         out: list[np.ndarray] = []
         hard = []
@@ -197,13 +201,14 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, penalty: float = PENALTY, i
             by.setdefault(lang, []).extend(words_of(text))
         langs, buckets, counts = [], [], []
         for lang, words in by.items():
-            if words:
-                bucket, _, script, letters = _grams(words)
-                n = np.concatenate([np.bincount(bucket, minlength=BUCKETS), np.bincount(script, letters, SCRIPTS).astype(np.int64)])
-                full = np.flatnonzero(n)
-                langs += [lang] * len(full)
-                buckets += full.tolist()
-                counts += n[full].tolist()
+            n = np.zeros(BUCKETS + SCRIPTS, np.int64)
+            for k in range(0, len(words), WORDS):
+                bucket, _, script, letters = _grams(words[k : k + WORDS])
+                n += np.concatenate([np.bincount(bucket, minlength=BUCKETS), np.bincount(script, letters, SCRIPTS).astype(np.int64)])
+            full = np.flatnonzero(n)
+            langs += [lang] * len(full)
+            buckets += full.tolist()
+            counts += n[full].tolist()
         return {"lang": langs, "bucket": buckets, "n": counts}
 
     summed = map_batches(sample, kernel, "lang string, bucket int, n long", schema, 4096).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -230,13 +235,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return map_batches(source, kernel, "id long, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>", schema, 256).withColumnRenamed("id", id_col)
 
 
-_MODELS: dict[bytes, Model] = {}
-
-
 def _own(model: Model) -> Model:
     """One copy of a model per process, so that its memo of words lasts over tasks."""
-    key = model.table[:, ::97].tobytes() + "|".join(model.langs).encode()
-    return _MODELS.setdefault(key, model)
+    return held(("langid", model.table[:, ::97].tobytes(), *model.langs), lambda: model)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:

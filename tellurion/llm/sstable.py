@@ -12,7 +12,6 @@ of fixed size. `Table.get` finds a document with one Bloom probe, one bisection
 from __future__ import annotations
 
 import bisect
-import functools
 import json
 import os
 import re
@@ -27,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, pieces, scratch, texts
+from .common import held, map_batches, materialize, pieces, scratch, texts
 
 MAGIC, BLOCK_BYTES, PROBES, BITS_PER_KEY = b"TLRNSST1", 1 << 18, 7, 10
 _FOOTER = struct.Struct("<QQQQQQQ8s")
@@ -235,9 +234,8 @@ class WordEncoder:
         return b"".join(found)
 
 
-@functools.cache
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return held(("sstable", path), lambda: WordEncoder(path))
 
 
 def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, shard_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

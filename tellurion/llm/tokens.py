@@ -12,7 +12,6 @@ the table alone, without encoding again.
 
 from __future__ import annotations
 
-import functools
 import json
 
 import ahocorasick
@@ -21,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts
+from .common import held, map_batches, texts
 
 #: Words whose tables are kept per process, and pairs of tokens; bounds of memory only.
 MEMO_WORDS, PAIRS = 300_000, 1_000_000
@@ -211,9 +210,8 @@ def window_starts(table: bytes, text_bytes: bytes, budget: int) -> list[int]:
     return out
 
 
-@functools.cache
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return held(("tokens", path), lambda: PrefixCounter(path))
 
 
 def prefix_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from tellurion.llm import audio, decontam, neardup, sharding
+from tellurion.llm import audio, common, decontam, neardup, sharding
 
 from .conftest import TEXTS
 
@@ -80,6 +80,20 @@ def test_cells_skip_nothing():
     assert neardup._cell_links(rows, 80, neardup.least_collisions(64, 80)) == [(1, 0)]
 
 
+def test_words_hashed_in_pieces(monkeypatch):
+    for raw in (b"", b" ", b"a", b"ab cd  efghij k ", b"nogapsatall" * 9, b" lead and trail\n" * 7):
+        data, whole = np.frombuffer(raw, np.uint8), neardup.word_hashes(np.frombuffer(raw, np.uint8))
+        for size in (1, 3, 10):
+            monkeypatch.setattr(neardup, "PIECE", size)
+            assert all(np.array_equal(x, y) for x, y in zip(whole, neardup.word_hashes(data)))
+        monkeypatch.undo()
+
+
+def test_one_model_is_held():
+    made = [common.held(k, lambda: object()) for k in ("a", "a", "b", "a")]
+    assert made[0] is made[1] and made[3] is not made[0] and len(common._HELD) == 1
+
+
 def test_least_collisions():
     assert neardup.least_collisions(64, 85) == 41 and neardup.least_collisions(64, 100) == 64
 
