@@ -27,13 +27,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held, map_batches, materialize, pieces, scratch, texts
+from .tokens import byte_chars
 
 MAGIC, BLOCK_BYTES, PROBES, BITS_PER_KEY = b"TLRNSST1", 1 << 18, 7, 10
 _FOOTER = struct.Struct("<QQQQQQQ8s")
 #: Words whose ids are kept per process; a bound of memory only.
 MEMO_WORDS = 300_000
 _FAMILY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Printable ASCII and the letters of Latin-1: already composed, and lower-cased one by one.
+_EASY = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
 def _filesystem(uri: str):
@@ -182,7 +185,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = "<u2" if self.width == 2 else "<u4"
+        self.kind, self.pack = ("<u2", "<%dH") if self.width == 2 else ("<u4", "<%dI")
+        self.tokenize, self.chars = self.tokenizer.model.tokenize, dict(enumerate(byte_chars()))
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -191,34 +195,36 @@ class WordEncoder:
         self.simple = '"Lowercase"' in text and json.dumps(_FAMILY)[1:-1] in text
 
     def _plain(self, word: str) -> bytes:
-        """A printable ASCII word: lower-cased and split as the tokenizer does, each part through its model alone."""
+        """An easy word: lower-cased and split as the tokenizer does, each part, its bytes as characters, through its model alone."""
         out, parts = [], self.parts
         for part in _PLAIN.findall(word.lower()):
             ids = parts.get(part)
             if ids is None:
                 if len(parts) >= MEMO_WORDS:
                     parts.clear()
-                ids = parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(part)], self.kind).tobytes()
+                shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.chars)
+                found = [t.id for t in self.tokenize(shown)]
+                ids = parts[part] = struct.pack(self.pack % len(found), *found)
             out.append(ids)
-        return b"".join(out)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def _fill(self, wanted: list[str]) -> None:
-        odd = []
+        odd, words, easy, plain = [], self.words, _EASY.fullmatch, self._plain
         for word in wanted:
-            if self.simple and word.isascii() and word.isprintable() and "<|" not in word:
-                self.words[word] = self._plain(word)
+            if self.simple and easy(word) and "<|" not in word:
+                words[word] = plain(word)
             else:
                 odd.append(word)
         for k in range(0, len(odd), 4096):
             group = odd[k : k + 4096]
             for word, got in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
-                self.words[word] = np.array(got.ids, self.kind).tobytes()
+                words[word] = np.array(got.ids, self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         words, memo = text.split(), self.words
-        found = [memo.get(w) for w in words]
+        found = list(map(memo.get, words))
         if None in found:
             older, missing = self.older, []
             for w, ids in zip(words, found):
