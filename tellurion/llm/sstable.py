@@ -32,7 +32,7 @@ from .tokens import byte_chars
 MAGIC, BLOCK_BYTES, PROBES, BITS_PER_KEY = b"TLRNSST1", 1 << 18, 7, 10
 _FOOTER = struct.Struct("<QQQQQQQ8s")
 #: Words whose ids are kept per process; a bound of memory only.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _FAMILY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 #: Printable ASCII and the letters of Latin-1: already composed, and lower-cased one by one.
