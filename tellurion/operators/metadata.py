@@ -134,12 +134,39 @@ def file_catalog(df: DataFrame, labels: tuple[str, ...] = INDEXED, ts: str = "ch
     return spanned.join(prints.groupBy("path").agg(F.collect_set("fp").alias("fingerprints")), "path", "left").withColumn("fingerprints", F.coalesce("fingerprints", F.array().cast("array<bigint>")))
 
 
+_BREAKS = "dDwWsSbBhHvVRXAZzGtnrfae"  # escapes of one letter that stand for no literal of their own
+
+
 def regex_trigrams(pattern: str) -> list[str]:
-    """Trigrams that every match must hold (of the literal runs outside groups, classes and repeats); may be none."""
-    if "|" in pattern:
+    """Trigrams that every match must hold (of the literal runs outside groups, classes and repeats); may be none.
+
+    None are demanded of alternatives, inline flags, and escapes or classes whose extent is not plain.
+    """
+    if "|" in pattern or re.search(r"\(\?[^:=!<>]", pattern):
         return []
-    plain = re.sub(r"\\[.\-/]", lambda m: m[0][1], pattern.strip("^$"))
-    runs = re.split(r"[.^$*+?{}\[\]()|\\]+", re.sub(r".[*?{]", "*", re.sub(r"\[[^\]]*\]|\([^)]*\)", "*", plain)))
+    runs, at, depth = [""], 0, 0
+    while at < len(pattern):
+        c, literal = pattern[at], ""
+        if c == "\\":
+            c = pattern[at + 1 : at + 2]
+            at += 1
+            if not c or (c.isascii() and c.isalnum() and c not in _BREAKS):
+                return []
+            literal = "" if c in _BREAKS else c
+        elif c in "[{":
+            whole = re.compile(r"\[\^?(?:\\[^Q]|[^\[\]\\])+\]" if c == "[" else r"\{[^{}]*\}", re.S).match(pattern, at)
+            if not whole:
+                return []
+            at = whole.end() - 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c not in ".^$*+?":
+            literal = c
+        at += 1
+        if literal and not depth and pattern[at : at + 1] not in ("*", "?", "{"):
+            runs[-1] += literal
+        else:
+            runs.append("")
     return [r[k : k + 3] for r in runs for k in range(len(r) - 2)]
 
 

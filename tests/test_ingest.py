@@ -1,5 +1,7 @@
 """Readers, promotion, translation, rollups, pruning, streams."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,24 @@ def test_regex_trigrams():
     assert metadata.regex_trigrams("a|b") == [] and metadata.regex_trigrams("ab?cde") == ["cde"]
 
 
+def test_regex_trigrams_are_in_every_match():
+    values = ["pod-1-api", "pod-12-api", "pod-x-api", "foo", "a foo b", "ERROR", "error", "a1bcd", "abcd", "abcxyz", "xyz", "a.bcd", "aaab", "A-b-c", "tab\there", "abbbc", "foo]bar"]
+    patterns = [r"pod-\d-api", r"pod-\d+-api", r"pod-\w-api", r"\bfoo", r".*\bfoo\b.*", "(?i)error", "(?i:err)or", r"a\dbcd", "(abc(d)?)?xyz", "((abc)?d)?xyz", r"a\.bcd", r"a\.?bcd", "a{3}b", "ab{1,3}c", "ab+c", r"\x61bcd", r"\Qa.b\Ecd", r"tab\there", r"foo[\]x]bar", "pod-1.*"]
+    for p in patterns:
+        hits = [v for v in values if not p.startswith(r"\Q") and re.search(p, v)]
+        assert hits or p.startswith(r"\Q"), p
+        assert all(t in v for v in hits for t in metadata.regex_trigrams(p)), p
+    assert metadata.regex_trigrams(r"pod-\d-api") == ["pod", "od-", "-ap", "api"] and metadata.regex_trigrams(r"a\.bcd") == ["a.b", ".bc", "bcd"]
+    assert metadata.regex_trigrams("(?i)error") == metadata.regex_trigrams(r"\Qa.b\Ecd") == []
+
+
+def test_prune_keeps_files_of_regex_matches(spark):
+    prints = metadata.fingerprints("log_level", F.col("v"))
+    catalog = spark.createDataFrame([("a", 0, 9, 1, "ERROR"), ("b", 0, 9, 1, "pod-1-api")], "path string, lo long, hi long, rows long, v string").withColumn("fingerprints", prints)
+    kept = lambda text: sorted(r.path for r in metadata.prune(catalog, parse_logql(text), 0, 10).collect())
+    assert "a" in kept('{log_level=~"(?i)error"}') and kept("{log_level=~`pod-\\d-api`}") == ["b"]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     schema = "chq_timestamp long, k string, value double"
     for n, rows in enumerate([[(0, "a", 1.0), (600_000, "a", 2.0)], [(900_000, "a", 3.0)], [(5_000, "a", 7.0), (950_000, "a", 4.0)], [(1_800_000, "a", 0.0)]]):
