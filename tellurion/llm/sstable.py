@@ -26,19 +26,33 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held, map_batches, materialize, pieces, scratch, texts
+from .common import held, materialize, pieces, scratch, texts
 from .tokens import byte_chars
 
 MAGIC, BLOCK_BYTES, PROBES, BITS_PER_KEY = b"TLRNSST1", 1 << 18, 7, 10
 _FOOTER = struct.Struct("<QQQQQQQ8s")
-#: Words whose ids are kept per process; a bound of memory only.
-MEMO_WORDS = 150_000
+#: Parts whose ids are kept per process, and their longest length; bounds of memory only.
+MEMO_PARTS, MEMO_CHARS = 250_000, 40
+#: Bytes that are cut into parts at once; a bound of memory only.
+PIECE = 1 << 21
 _FAMILY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 #: Printable ASCII and the letters of Latin-1: already composed, and lower-cased one by one.
 _EASY = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
+def _classes() -> np.ndarray:
+    """Of each byte: 0 white space, 1 letter, 2 digit, 3 other printable ASCII, 4 anything else."""
+    out = np.full(256, 4, np.uint8)
+    out[33:127] = 3
+    out[48:58] = 2
+    out[[*range(65, 91), *range(97, 123)]] = 1
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    return out
+
+
+_CLASS = _classes()
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -177,7 +191,8 @@ class Table:
 
 
 class WordEncoder:
-    """Ids under a tokenizer that drops white space, so that words between white space encode on their own."""
+    """Ids under a tokenizer that drops white space. Texts are cut into parts by array operations over their bytes, equal parts
+    of a batch meet once, and only parts that the memo lacks reach the tokenizer."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -185,59 +200,112 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind, self.pack = ("<u2", "<%dH") if self.width == 2 else ("<u4", "<%dI")
+        self.kind = "<u2" if self.width == 2 else "<u4"
         self.tokenize, self.chars = self.tokenizer.model.tokenize, dict(enumerate(byte_chars()))
-        self.words: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        # The short way holds for this family only: lower-casing, the pattern below, whole words.
+        # Cutting into parts holds for this family only: lower-casing, the pattern above, whole words.
         text = open(path, encoding="utf-8").read()
         self.simple = '"Lowercase"' in text and json.dumps(_FAMILY)[1:-1] in text
 
-    def _plain(self, word: str) -> bytes:
-        """An easy word: lower-cased and split as the tokenizer does, each part, its bytes as characters, through its model alone."""
-        out, parts = [], self.parts
-        for part in _PLAIN.findall(word.lower()):
-            ids = parts.get(part)
-            if ids is None:
-                if len(parts) >= MEMO_WORDS:
-                    parts.clear()
-                shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.chars)
-                found = [t.id for t in self.tokenize(shown)]
-                ids = parts[part] = struct.pack(self.pack % len(found), *found)
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
-
-    def _fill(self, wanted: list[str]) -> None:
-        odd, words, easy, plain = [], self.words, _EASY.fullmatch, self._plain
-        for word in wanted:
-            if self.simple and easy(word) and "<|" not in word:
-                words[word] = plain(word)
+    def _missing(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts: easy ones, their bytes as characters, by the tokenizer's model alone, others by all of it."""
+        odd = [p for p in parts if not _EASY.fullmatch(p) or "<|" in p]
+        found = dict(zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))) if odd else {}
+        pack, kind, out = struct.pack, self.kind[1:].replace("u2", "H").replace("u4", "I"), []
+        for p in parts:
+            if p in found:
+                own = found[p].ids
             else:
-                odd.append(word)
-        for k in range(0, len(odd), 4096):
-            group = odd[k : k + 4096]
-            for word, got in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
-                words[word] = np.array(got.ids, self.kind).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        words, memo = text.split(), self.words
-        found = list(map(memo.get, words))
+                own = [t.id for t in self.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.chars))]
+            out.append(pack(f"<{len(own)}{kind}", *own))
+        return out
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        memo, older = self.memo, self.older
+        found = list(map(memo.get, parts))
         if None in found:
-            older, missing = self.older, []
-            for w, ids in zip(words, found):
+            lost = []
+            for k, ids in enumerate(found):
                 if ids is None:
-                    if (old := older.get(w)) is None:
-                        missing.append(w)
+                    if (old := older.get(parts[k])) is None:
+                        lost.append(k)
                     else:
-                        memo[w] = old
-            self._fill(list(dict.fromkeys(missing)))
-            found = [memo[w] if ids is None else ids for w, ids in zip(words, found)]
-            if len(memo) >= MEMO_WORDS:
-                self.older, self.words = memo, {}
-        return b"".join(found)
+                        memo[parts[k]] = found[k] = old
+            for k, ids in zip(lost, self._missing([parts[k] for k in lost])):
+                found[k] = ids
+                if len(parts[k]) <= MEMO_CHARS:
+                    memo[parts[k]] = ids
+            if len(memo) >= MEMO_PARTS:
+                self.older, self.memo = memo, {}
+        return found
+
+    def encode_all(self, docs: list[str]) -> list[np.ndarray]:
+        """Token ids of whole texts."""
+        if not self.simple:
+            return [np.array(got.ids, self.kind) for got in self.tokenizer.encode_batch_fast(docs, add_special_tokens=False)]
+        raw = [d.encode() for d in docs]
+        limits = np.cumsum([len(r) + 1 for r in raw])
+        data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+        flat, counts, at = [], np.zeros(len(docs), np.int64), 0
+        while at < len(data):
+            end = _white_end(data, at)
+            lowered, starts = part_starts(data[at:end])
+            offsets = np.append(starts, end - at).astype(np.int64)
+            parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(lowered)).dictionary_encode()
+            known = self._ids(parts.dictionary.to_pylist())
+            size = np.array(list(map(len, known)), np.int64) // self.width
+            code = parts.indices.to_numpy()
+            n = size[code]
+            whole = np.frombuffer(b"".join(known), self.kind)
+            first = (np.cumsum(size) - size)[code]
+            flat.append(whole[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            counts += np.bincount(np.searchsorted(limits, starts + at, "right"), n, len(docs)).astype(np.int64)
+            at = end
+        return np.split(np.concatenate(flat), np.cumsum(counts)[:-1]) if flat else []
+
+
+def _white_end(data: np.ndarray, at: int, most: int = PIECE) -> int:
+    """The end of the longest run of whole words of about `most` bytes from `at` on."""
+    end = at + most
+    while end < len(data):
+        gaps = np.flatnonzero(_CLASS[data[end - most : end]] == 0)
+        if len(gaps):
+            return end - most + int(gaps[-1]) + 1
+        end += most
+    return len(data)
+
+
+def part_starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes, lower-cased, and where parts begin: runs of letters, single digits, runs of marks, the contractions of
+    `_FAMILY`, white space; a word with other characters than `_EASY` or with '<|' is one part and keeps its case."""
+    n = len(data)
+    kind, after = _CLASS[data], np.append(data[1:], np.uint8(0))
+    lead = (data == 0xC3) & (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)
+    tail = np.append(False, lead[:-1])
+    kind[lead | tail] = 1
+    begins = np.append(True, kind[1:] != kind[:-1]) | (kind == 2)
+    quotes = np.flatnonzero((data == 39) & begins)
+    if len(quotes):
+        low = np.append(data, np.zeros(3, np.uint8)) | np.uint8(32)
+        x, y = low[quotes + 1], low[quotes + 2]
+        one = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+        two = ((x == 114) & (y == 101)) | ((x == 118) & (y == 101)) | ((x == 108) & (y == 108))
+        cut = quotes[one | two]
+        begins[cut + 1] = False
+        ends = cut + np.where(one, 2, 3)[one | two]
+        begins[ends[ends < n]] = True
+    odd = np.flatnonzero((kind == 4) | ((data == 60) & (after == 124)))
+    up = ((data >= 65) & (data <= 90)) | (tail & (data >= 0x80) & (data <= 0x9E))
+    if len(odd):
+        word = np.cumsum(np.append(True, (kind[1:] == 0) != (kind[:-1] == 0)))  # numbers of words and gaps
+        hard = np.zeros(int(word[-1]) + 1, bool)
+        hard[word[odd]] = True
+        inside = hard[word]
+        begins &= ~inside
+        begins |= inside & np.append(True, word[1:] != word[:-1])
+        up &= ~inside
+    return data + (up * np.uint8(32)), np.flatnonzero(begins)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -248,48 +316,44 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
     """Encode every text, append `end_id`, write the shards below `folder`; returns the manifest: shard, path, n_docs,
     n_ids, and `base`, the ids in all shards before it.
 
-    Shards are ranges of the identifier of about `shard_rows` documents; a partition writes one file per shard it gets. A null text encodes as the empty one. A null
-    id sorts first; equal ids are neighbours, ordered by their ids' bytes. Files are written once per attempt of a task
-    and only the manifest's are read, so lost executors do no harm. Other columns are not read.
+    Rows are dealt by ranges of (identifier, hash of the text, row number), so neither a null id nor one that a third of all rows
+    repeat, with one text or many, gathers in a task; up to 20,000 tasks write a shard for each `shard_rows` documents or so. A
+    null text encodes as the empty one. A null id sorts first; equal ids are neighbours, ordered by the hash of their text.
+    Files are written once per attempt of a task and only the manifest's are read, so lost executors do no harm. Other
+    columns are not read.
     """
-    spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    shards = max(1, -(-source.count() // shard_rows))
-    cuts = sorted(set(source.approxQuantile("id", [k / shards for k in range(1, shards)], 0.1 / shards))) if shards > 1 else []
-    schema = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("ids", pa.binary())])
-
-    def encode(batch: pa.RecordBatch) -> dict:
-        own, doc_ids = encoder(vocabulary), batch.column("id")
-        end, pack = np.array([end_id], own.kind).tobytes(), zstandard.ZstdCompressor(level=1).compress
-        at = np.searchsorted(np.array(cuts), np.array([np.iinfo(np.int64).min if d is None else d for d in doc_ids.to_pylist()]), "right")
-        return {"shard": at.astype(np.int32), "id": doc_ids, "ids": [pack(own.encode(t) + end) for t in texts(batch)]}
-
-    encoded = map_batches(source, encode, "shard int, id long, ids binary", schema, 256)
-    dealt = encoded.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", F.asc_nulls_first("id"), "ids")
-    made = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    tasks = min(20_000, max(1, -(-source.count() // shard_rows)))
+    order = [F.asc_nulls_first("id"), F.asc("hash"), F.asc("row")]
+    dealt = source.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    made = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, unpack = encoder(vocabulary).width, zstandard.ZstdDecompressor().decompress
-        now, writer, uri = None, None, ""
+        from pyspark import TaskContext
+
+        own, part, file, writer, uri = encoder(vocabulary), TaskContext.get().partitionId(), 0, None, ""
+        end = np.array([end_id], own.kind).tobytes()
 
         def ended() -> pa.RecordBatch:
             writer.close()
-            return pa.RecordBatch.from_pylist([{"shard": now, "path": uri, "n_docs": len(writer.keys), "n_ids": writer.ids}], schema=made)
+            return pa.RecordBatch.from_pylist([{"part": part, "file": file, "path": uri, "n_docs": len(writer.keys), "n_ids": writer.ids}], schema=made)
 
         for piece in pieces(batches):
-            for shard, doc_id, ids in zip(piece.column("shard").to_pylist(), piece.column("id").to_pylist(), piece.column("ids")):
-                if shard != now:
-                    if writer:
-                        yield ended()
-                    now, uri = shard, f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
-                    writer = Writer(uri, width)
-                writer.add(key_of(doc_id), unpack(ids.as_buffer()))
+            for doc_id, ids in zip(piece.column("id").to_pylist(), own.encode_all(texts(piece))):
+                if writer and len(writer.keys) >= 2 * shard_rows:
+                    yield ended()
+                    file, writer = file + 1, None
+                if writer is None:
+                    uri = f"{folder}/shard-{part:06d}-{file:04d}-{uuid.uuid4().hex}.sst"
+                    writer = Writer(uri, own.width)
+                writer.add(key_of(doc_id), ids.tobytes() + end)
         if writer:
             yield ended()
 
-    manifest = materialize(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), "manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    written = dealt.select("id", "text").mapInArrow(write, "part int, file int, path string, n_docs long, n_ids long")
+    every = Window.orderBy("part", "file")
+    manifest = materialize(written, "manifest").withColumn("shard", F.row_number().over(every) - 1)
+    return manifest.select("shard", "path", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -312,7 +376,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
     files = max(1, manifest.count())
-    return manifest.select("shard", "path", "base").repartition(files, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("shard", "path", "base").repartition(min(files, 20_000), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, doc_ids: list[int | None]) -> DataFrame:

@@ -72,10 +72,22 @@ def test_codec_frames(awkward, nothing):
     assert codec.encode(nothing, RANKS, P.PATTERN).count() == 0
 
 
-def test_word_encoder():
+def test_word_encoder(monkeypatch):
     own, lib = sstable.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
-    for text in words(2000, 3):
-        assert np.frombuffer(own.encode(text), own.kind).tolist() == lib.encode(text, add_special_tokens=False).ids
+    odd = ["Don't!!'s 'Sound''ll x'RE 5's <|endoftext|>Y <|A|", "ÀÉß×÷ Ünï'dé H\u0331 e\u0301A\u0300", "a\xa0B\u2003c\x1fD\x7fe\x00F", "", "\n", "x" * 5000 + " " + "Ab9" * 3000]
+    for size in (1 << 21, 7):
+        monkeypatch.setattr(sstable._white_end, "__defaults__", (size,))
+        texts = [*words(2000, 3), *odd]
+        for text, ids in zip(texts, own.encode_all(texts)):
+            assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids, text
+    assert max(map(len, own.memo)) <= sstable.MEMO_CHARS and own.encode_all([]) == []
+
+
+def test_repeated_ids_are_dealt_to_many_shards(spark):
+    docs = spark.range(400).selectExpr("if(id % 3 = 0, id, null) doc_id", "if(id % 3 = 1, 'same text', concat('text ', id)) text")
+    manifest = sstable.write_shards(docs, WORDS, sstable.scratch(spark, "t"), shard_rows=50).cache()
+    assert manifest.agg({"n_docs": "sum"}).first()[0] == 400 and manifest.agg({"n_docs": "max"}).first()[0] < 120
+    assert len(sstable.lookup(manifest, [None]).collect()) == 266
 
 
 def test_table_file(tmp_path):
