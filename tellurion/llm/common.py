@@ -56,8 +56,10 @@ def fold(column: str, n: int):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may leave it unset, for tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() or "")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return path.rstrip("/") or "file:///tmp/checkpoints"
 
 
@@ -73,6 +75,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Room:
+    """Tables of one operator's run in the shared folder, by name; those no longer needed are deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, scratch(spark, name)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def filter_rows(df: DataFrame, mask: Callable[[list[str]], list[bool]], text_col: str = "text", rows: int = 256) -> DataFrame:
     """The rows of `df`, all its columns, whose text passes `mask` (texts -> booleans; null as the empty text); no shuffle."""
 

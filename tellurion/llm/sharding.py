@@ -1,19 +1,25 @@
 """Operator 4: a uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-Rows lie in source blocks. How many rows of each block go to each shard follows the multivariate hypergeometric law,
-drawn on the driver from the blocks' row counts alone; each block is permuted locally and cut at the drawn counts,
-rows move to their shards, and each shard is permuted again. Every assignment that keeps the shard sizes is then
-equally likely, and sizes are exact: they differ by one row at most. Rows get numbers in a table in the shared folder, and
-permutations order them by seeded 64-bit hashes of these, so lost executors change nothing and equal rows stay apart.
+The blocks are the input's partitions. How many rows of each block go to each shard follows the multivariate hypergeometric
+law, drawn on the driver from the blocks' row counts alone (one number per partition); each block is permuted in place and
+cut at the drawn counts, rows move to their shards, and each shard is permuted again. Every assignment that keeps the shard
+sizes is then equally likely, and sizes are exact: they differ by one row at most. Permuted blocks are a table in the shared
+folder, and permutations order rows by seeded 64-bit hashes of their numbers, so lost executors change nothing and equal
+rows stay apart.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+from math import lgamma, log
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Room
+
+_HALF_LOG_2PI = Decimal("0.91893853320467274178032973640561763986139747363778341282")
 
 
 def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
@@ -39,55 +45,95 @@ def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n places drawn without replacement are good: numpy's sampler up to its bound, `_large` above it."""
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    # Above numpy's bound: cut the places in two with a fixed share of the good ones each, draw how many of the n fall in
-    # either part, and go on in each.
-    half = (good + bad) // 2
-    in_half, good_half = _cut(rng, good + bad, half, n), good * half // (good + bad)
-    return _hypergeometric(rng, good_half, half - good_half, in_half) + _hypergeometric(rng, good - good_half, good + bad - half - (good - good_half), n - in_half)
-
-
-def _cut(rng: np.random.Generator, total: int, part: int, n: int) -> int:
-    """Of n marked places among `total`, how many fall in `part` of them: the hypergeometric law's normal limit,
-    whose relative error is under 1e-4 above 10**9 places; sums stay exact."""
-    p = part / total
-    sd = (n * p * (1 - p) * (total - n) / max(1, total - 1)) ** 0.5
-    return int(min(max(round(rng.normal(n * p, sd)), max(0, n - (total - part))), min(n, part)))
+    return _large(rng, good, bad, n)
+
+
+def _log_factorials(*numbers: int) -> Decimal:
+    """Sum of log k! by Stirling's series to about 40 digits (small k are multiplied out)."""
+    total = Decimal(0)
+    for k in numbers:
+        shift, x = Decimal(1), k + 1
+        while x < 200:
+            shift, x = shift * x, x + 1
+        z = Decimal(x)
+        series, power = Decimal(0), z
+        for a, b in ((1, 12), (-1, 360), (1, 1260), (-1, 1680), (1, 1188), (-691, 360360), (1, 156), (-3617, 122400), (43867, 244188), (-174611, 125400)):
+            series += Decimal(a) / (b * power)
+            power *= z * z
+        total += (z - Decimal("0.5")) * z.ln() - z + _HALF_LOG_2PI + series - shift.ln()
+    return total
+
+
+def _large(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """The hypergeometric law of any size by rejection under a table mountain: a normal-like proposal around the mode and an
+    exact test. Log-chances are compared in double precision, and where that cannot decide, with 50 digits."""
+    lo, hi = max(0, n - bad), min(n, good)
+    if lo == hi:
+        return lo
+    total = good + bad
+    mode = min(hi, max(lo, (n + 1) * (good + 1) // (total + 2)))
+    sd = (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5
+    # Ratio of uniforms: k = mode + width * (v / u), accepted where u * u <= p(k) / p(mode).
+    width = 2.0 * (sd + 1.0)
+    parts = lambda k: (k, good - k, n - k, bad - n + k)
+    with localcontext() as context:
+        context.prec = 50
+        top = None
+        while True:
+            u, v = 1.0 - rng.random(), 2.0 * rng.random() - 1.0
+            k = mode + int(np.floor(width * v / u + 0.5))
+            if not lo <= k <= hi:
+                continue
+            limit = 2.0 * log(u)
+            # p(k) <= p(mode), and log-concave: the sum of ratios' logs between them, from double-double friendly differences.
+            rough, slack = _log_ratio(parts(mode), parts(k))
+            if rough - slack >= limit:
+                return k
+            if rough + slack < limit:
+                continue
+            top = _log_factorials(*parts(mode)) if top is None else top
+            if float(top - _log_factorials(*parts(k))) >= limit:
+                return k
+
+
+def _log_ratio(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[float, float]:
+    """log of the product of a! over the product of b!, and a bound of its rounding error."""
+    first, second = sum(lgamma(x + 1.0) for x in a), sum(lgamma(x + 1.0) for x in b)
+    return first - second, 1e-14 * (abs(first) + abs(second) + 1.0)
 
 
 def numbered(rows: DataFrame, group: str, order: Column, sub_rows: int, most: int, name: str) -> DataFrame:
     """Adds `name`: the gapless position of each row in its group by `order` (a hash from 0 to 2**62), with no task that
     holds a whole group: groups, of `most` rows at most, are cut into ranges of the hash of about `sub_rows` rows, counted first."""
     parts = max(1, -(-most // sub_rows))
-    cut = rows.withColumn("_o", order).withColumn("_p", F.floor(F.col("_o") / F.lit((1 << 62) // parts + 1)).cast("int"))
-    inside = F.row_number().over(Window.partitionBy(group, "_p").orderBy("_o", "_r")) - 1
-    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = cut.groupBy(group, "_p").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return cut.withColumn("_i", inside).join(base, [group, "_p"]).withColumn(name, (F.col("_i") + F.col("_base")).cast("long")).drop("_o", "_p", "_i", "_base")
-
-
-def _hash(seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_r"), 2)
+    cut = rows.withColumn("o", order).withColumn("p", F.floor(F.col("o") / F.lit((1 << 62) // parts + 1)).cast("int"))
+    inside = F.row_number().over(Window.partitionBy(group, "p").orderBy("o", "b", "k")) - 1
+    before = Window.partitionBy(group).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut.groupBy(group, "p").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    return cut.withColumn("i", inside).join(base, [group, "p"]).withColumn(name, (F.col("i") + F.col("base")).cast("long")).drop("o", "p", "i", "base")
 
 
-def shard(rows: DataFrame, shards: int = 40, seed: int = 42, block_rows: int = 20_000) -> DataFrame:
+def shard(rows: DataFrame, shards: int = 40, seed: int = 42, sub_rows: int = 20_000) -> DataFrame:
     """`rows` with `shard` (int, 0 to shards - 1) and `slot` (long, gapless from 0 in each shard).
 
     Sizes of shards differ by one row at most. Equal rows spread over the shards as any others, so a group of copies, however
-    large, never gathers in one task or shard. Nulls are values like others; an empty table gives no rows. The input must not
-    have columns named shard, slot, _r, _b, _k, _o, _p, _i, _base or _ends: others keep their names.
+    large, never gathers in one task or shard. Nulls are values like others; an empty table gives no rows. Columns may have
+    any names; input columns named shard or slot are replaced. Blocks are the input's partitions, so the draw depends on how the
+    input is cut into partitions, not only on its rows.
     """
-    spark = rows.sparkSession
-    taken = {"shard", "slot", "_r", "_b", "_k", "_o", "_p", "_i", "_base", "_ends"} & {c.lower() for c in rows.columns}
-    if taken:
-        raise ValueError(f"rename the columns {sorted(taken)} first")
-    source = materialize(rows.withColumn("_r", F.monotonically_increasing_id()), "rows")
-    blocks = max(1, -(-source.count() // block_rows))
-    source = source.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed + 2), "_r"), F.lit(blocks)).cast("int"))
-    counts = {r["_b"]: r["count"] for r in source.groupBy("_b").count().collect()}
-    matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], shards, seed)
-    ends = spark.createDataFrame([(b, [int(x) for x in np.cumsum(matrix[b])]) for b in range(blocks)], "_b int, _ends array<long>")
-    local = numbered(source, "_b", _hash(seed), block_rows * 2, max(counts.values(), default=0), "_k")
-    moved = local.join(ends, "_b").withColumn("shard", F.expr("size(filter(_ends, e -> e <= _k))").cast("int")).drop("_b", "_k", "_ends")
-    return numbered(moved, "shard", _hash(seed + 1), block_rows, int(matrix.sum(axis=0).max()), "slot").drop("_r")
+    spark, room = rows.sparkSession, Room(rows.sparkSession, "shards")
+    own = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    packed = rows.select(F.struct(*[rows[c] for c in own]).alias("row") if own else F.struct(F.lit(None).alias("none")).alias("row"))
+    # A partition is permuted by sorting on hashes of its row numbers; row numbers taken again then hold block and position.
+    mixed = packed.withColumn("h", F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).sortWithinPartitions("h").withColumn("at", F.monotonically_increasing_id())
+    source = room.write(mixed.select("row", F.shiftright("at", 33).cast("int").alias("b"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("k")), "blocks")
+    counts = sorted((r["b"], r["count"]) for r in source.groupBy("b").count().collect())
+    matrix = communication_matrix([n for _, n in counts], shards, seed)
+    ends = spark.createDataFrame([(b, own) for (b, _), own in zip(counts, np.cumsum(matrix, axis=1).tolist())], "b int, ends array<long>")
+    moved = source.join(ends, "b").withColumn("shard", F.expr("size(filter(ends, e -> e <= k))").cast("int")).drop("ends")
+    most = int(matrix.sum(axis=0).max(initial=0))
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "b", "k"), 2)
+    return numbered(moved, "shard", order, sub_rows, most, "slot").select(*([F.col("row.*")] if own else []), "shard", "slot")
