@@ -7,11 +7,12 @@ document's language is the one that most of its letters are labelled with.
 
 from __future__ import annotations
 
-import re
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,10 @@ from .common import filter_rows, held, map_batches
 #: Documents per language a model is fitted on at most (about; those with the smallest hashes of their id).
 MAX_DOCS = 1500
 BUCKETS, ORDERS, PENALTY, MEMO_WORDS = 1 << 16, 4, 6.0, 300_000
-#: Words whose n-grams are computed at once; a bound of memory only.
-WORDS = 16_384
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words whose n-grams are computed at once, and letters of words that a memo may hold; bounds of memory only.
+WORDS, MEMO_LETTERS = 16_384, 6_000_000
+#: A letter with the letters and marks that follow it; joiners inside words belong to them too.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}\u200c\u200d]*")
 #: First code points of script ranges and the script's number from there on (0: common or Latin extensions' gaps).
 _SCRIPTS = [(0x0, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xA00, 9), (0xA80, 10), (0xB00, 11), (0xB80, 12), (0xC00, 13), (0xC80, 14), (0xD00, 15), (0xE00, 16), (0xE80, 17), (0x1000, 18), (0x10A0, 19), (0x1100, 20), (0x1200, 21), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 22), (0x30A0, 23), (0x3100, 0), (0x3400, 24), (0xA000, 0), (0xAC00, 20), (0xD7B0, 0), (0xF900, 24), (0xFB00, 0)]
 _AT, _NUMBER = np.array([a for a, _ in _SCRIPTS]), np.array([n for _, n in _SCRIPTS])
@@ -56,11 +58,8 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters; empty if the text has no letter."""
-    if not text:
-        return []
-    found = _WORD.findall(text)
-    return found if len(found) > 64 or any(c.isalpha() for w in found for c in w) else []
+    """Words: runs of letters with their combining marks; empty if the text has no letter."""
+    return _WORD.findall(text) if text else []
 
 
 @dataclass
@@ -69,9 +68,11 @@ class Model:
     table: np.ndarray  # (languages, BUCKETS) log-probabilities, less their mean over languages
     scripts: np.ndarray  # (languages, SCRIPTS) booleans
     penalty: float = PENALTY
+    key: bytes = b""
     index: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
     letters: np.ndarray | None = None
+    held_letters: int = 0
 
     def _learn(self, words: list[str]) -> None:
         if not words:
@@ -90,11 +91,13 @@ class Model:
             self.scores, self.letters = grown, sized
         self.scores[at : at + len(words)], self.letters[at : at + len(words)] = score, letters
         self.index.update(zip(words, range(at, at + len(words))))
+        self.held_letters += int(letters.sum())
 
     def label(self, docs: list[list[str]]) -> list[np.ndarray]:
         """Language number of each word of each document."""
-        if len(self.index) > MEMO_WORDS:
+        if len(self.index) > MEMO_WORDS or self.held_letters > MEMO_LETTERS:
             self.index.clear()
+            self.scores, self.held_letters = None, 0
         known = self.index
         new = list(dict.fromkeys(w for words in docs for w in words if w not in known))
         for k in range(0, len(new), WORDS):
@@ -122,6 +125,15 @@ class Model:
             out[d] = path
         return out
 
+    def learned_share(self, text: str) -> float:
+        """The share of a text's words, by letters, whose script a learned language uses."""
+        words = words_of(text)
+        if not words or not self.langs:
+            return 0.0
+        codes = np.array([ord(w[0].lower()[0]) for w in words])
+        known = self.scripts.any(0)[_NUMBER[np.searchsorted(_AT, codes, "right") - 1]]
+        return float(np.bincount(known, [len(w) for w in words], 2)[1] / sum(map(len, words)))
+
     def _viterbi(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """Best paths; documents advance together, longest first."""
         if not docs:
@@ -131,11 +143,11 @@ class Model:
         more = np.searchsorted(-counts[by], -np.arange(counts.max()), "left")
         firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])[by]
         flat = self.scores[np.concatenate(docs)].astype(np.float64)
-        back = np.zeros((len(flat), n), np.int8)
+        back = np.zeros((len(flat), n), np.int16)
         final = np.zeros((len(docs), n))
         state = flat[firsts]
         final[:] = state
-        own = np.arange(n, dtype=np.int8)
+        own = np.arange(n, dtype=np.int16)
         for t in range(1, len(more)):
             k = more[t]
             state = state[:k]
@@ -143,7 +155,7 @@ class Model:
             jump = state[np.arange(k), top] - self.penalty
             stay = state >= jump[:, None]
             at = firsts[:k] + t
-            back[at] = np.where(stay, own, top[:, None].astype(np.int8))
+            back[at] = np.where(stay, own, top[:, None].astype(np.int16))
             state = np.where(stay, state, jump[:, None]) + flat[at]
             final[:k] = state
         paths: list[np.ndarray] = [np.zeros(0, np.int64)] * len(docs)
@@ -174,14 +186,16 @@ class Model:
 
 
 def fit_model(counts: dict[str, np.ndarray], scripts: dict[str, np.ndarray], penalty: float = PENALTY) -> Model:
-    """From gram counts and letters by script of each language."""
+    """From gram counts and letters by script of each language, up to 32,767 of them."""
     langs = sorted(counts)
+    if len(langs) > 32_767:
+        raise ValueError("too many languages")
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, SCRIPTS), bool), penalty)
     table = np.stack([np.log((counts[k] + 0.5) / (counts[k].sum() + 0.5 * BUCKETS)) for k in langs])
-    table -= table.mean(0)
-    share = np.stack([scripts[k] / max(1, scripts[k].sum()) for k in langs])
-    return Model(langs, table.astype(np.float32), share >= 0.005, penalty)
+    table = (table - table.mean(0)).astype(np.float32)
+    own = np.stack([scripts[k] / max(1, scripts[k].sum()) for k in langs]) >= 0.005
+    return Model(langs, table, own, penalty, hashlib.sha256(table.tobytes() + own.tobytes() + repr(penalty).encode()).digest())
 
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -237,9 +251,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def _own(model: Model) -> Model:
     """One copy of a model per process, so that its memo of words lasts over tasks."""
-    return held(("langid", model.table[:, ::97].tobytes(), *model.langs), lambda: model)
+    return held(("langid", model.key, *model.langs), lambda: model)
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.65, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, of whose letters one language has the share `least` or more; letters of words in a script
+    that no learned language uses count for none. No shuffle."""
 
+    def keep(own: list[str]) -> list[bool]:
+        mine = _own(model)
+        return [lang != "und" and score * mine.learned_share(text) >= least for text, (lang, score, _) in zip(own, mine.predict(own))]
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, with letters of which one language has the share `least` or more; no shuffle."""
-    return filter_rows(docs, lambda own: [lang != "und" and score >= least for lang, score, _ in _own(model).predict(own)], text_col)
+    return filter_rows(docs, keep, text_col)
