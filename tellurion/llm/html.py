@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-_BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul video audio canvas svg math button label".split())
+_BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul video audio canvas button label".split())
 _HEAD = frozenset("html head body title noscript template object frameset".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style"))
-_NEVER = frozenset("head script style title noscript template iframe object svg math canvas select option textarea button form nav menu dialog audio video".split())
+_NEVER = frozenset("head script style title noscript template iframe canvas select option textarea button nav menu dialog audio video".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: Groups of attribute tokens (of class, id and role); a token counts for a group if it begins with one of its words.
@@ -41,7 +41,7 @@ _TOKENS = {
 }
 _GROUP = {w: k for k, words in enumerate(_TOKENS.values()) for w in words.split()}
 _TAGS = ("body", "article", "main", "section", "div", "p", "ul", "ol", "li", "table", "td", "h1", "h2", "h3", "header", "footer", "nav", "aside", "blockquote", "pre", "figure", "form")
-_OWN = len(_TAGS) + len(_TOKENS) + 12
+_OWN = len(_TAGS) + len(_TOKENS) + 13
 FEATURES = _OWN + 3 * len(_TOKENS) + 6
 
 
@@ -64,6 +64,7 @@ class _Builder(HTMLParser):
         self.root = Node("html", frozenset(), None, 0, 0)
         self.nodes, self.open, self.text, self.links, self.raw = [self.root], [self.root], [], 0, 0
         self.held: Counter[str] = Counter()  # open nodes by tag
+        self.drawing = 0  # open svg elements, which are neither text nor a break in it
 
     def _flush(self) -> None:
         if self.text:
@@ -92,6 +93,12 @@ class _Builder(HTMLParser):
         if tag in _RAW:
             self.raw += 1
             return
+        if tag == "svg":
+            self.drawing += 1
+        if self.drawing:
+            if tag not in _BLOCKS or tag == "title":
+                return
+            self.drawing = 0  # a block ends a drawing that was left open
         if tag == "a":
             self.links += 1
         if tag in ("br", "img", "wbr"):
@@ -127,13 +134,19 @@ class _Builder(HTMLParser):
             self.held[node.tag] += 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
+        if tag == "svg":
+            return
         self.handle_starttag(tag, attrs)
-        if tag in _BLOCKS and tag not in _VOID:
+        if tag in _BLOCKS and tag not in _VOID and not self.drawing:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _RAW:
             self.raw = max(0, self.raw - 1)
+        elif tag == "svg":
+            self.drawing = max(0, self.drawing - 1)
+        elif self.drawing and tag == "title":
+            pass
         elif tag == "a":
             self.links = max(0, self.links - 1)
         elif tag in _BLOCKS and tag != "html":
@@ -143,7 +156,7 @@ class _Builder(HTMLParser):
                 self._flush()
 
     def handle_data(self, data: str) -> None:
-        if not self.raw:
+        if not self.raw and not self.drawing:
             self.text.append((data, self.links > 0))
 
 
@@ -160,7 +173,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     """(nodes, FEATURES)."""
     n = len(nodes)
     x = np.zeros((n, FEATURES), np.float32)
-    chars, links, own_chars, tags, stops, paragraphs = (np.zeros(n) for _ in range(6))
+    chars, links, own_chars, tags, stops, paragraphs, legal = (np.zeros(n) for _ in range(7))
     for i in range(n - 1, -1, -1):
         node = nodes[i]
         for item in node.items:
@@ -170,12 +183,14 @@ def features(nodes: list[Node]) -> np.ndarray:
                 links[i] += links[j]
                 tags[i] += tags[j] + 1
                 stops[i] += stops[j]
+                legal[i] += legal[j]
                 paragraphs[i] += paragraphs[j] + (item.tag == "p")
             else:
                 chars[i] += len(item[0])
                 own_chars[i] += len(item[0])
                 links[i] += min(item[1], len(item[0]))
                 stops[i] += item[0].count(".") + item[0].count(",")
+                legal[i] += "\xa9" in item[0] or item[0][:9].lower() == "copyright"
     total, k = max(1.0, chars[0]), len(_TAGS)
     place, count, weight = np.zeros(n, np.int64), np.ones(n, np.int64), np.zeros(n)  # among the siblings
     weight[0] = chars[0]
@@ -190,10 +205,9 @@ def features(nodes: list[Node]) -> np.ndarray:
         for g in node.groups:
             row[k + g] = 1
         up, kin = node.parent, count[i]
-        at = place[i] if kin < 50 else 25
-        row[k + 8 : k + 20] = (
+        row[k + 8 : k + 21] = (
             node.depth / 10, np.log1p(chars[i]), links[i] / max(1.0, chars[i]), tags[i] * 20 / max(20.0, chars[i]), own_chars[i] / max(1.0, chars[i]), chars[i] / total,
-            paragraphs[i] / 10, stops[i] * 20 / max(20.0, chars[i]), at / kin, min(kin, 20) / 20, weight[i] / total, node.tag in _NEVER,
+            paragraphs[i] / 10, stops[i] * 20 / max(20.0, chars[i]), place[i] / kin, min(kin, 20) / 20, weight[i] / total, node.tag in _NEVER, legal[i] * 200 / max(200.0, chars[i]),
         )
         if up:
             for g in up.groups:
@@ -282,8 +296,17 @@ def synthetic_pages(count: int, seed: int = 11) -> list[str]:
     def name(*options: str) -> str:
         return rng.choice(options)
 
+    def made_up() -> str:
+        return "".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiouy0123456789") for _ in range(rng.randint(2, 4)))
+
+    def plain(text: str, tag: str = "div") -> str:
+        """A box whose attributes say nothing."""
+        return f'<{tag} {name("class", "id")}="{made_up()}{name("", " " + made_up())}">{text}</{tag}>'
+
     def box(group: str, text: str, tag: str = "div") -> str:
         words = _TOKENS[group].split()
+        if rng.random() < (0.5 if group == "main" else 0.4 if group == "menu" else 0.05):
+            return plain(text, tag)
         return f'<{tag} {name("class", "id")}="{name("", "box ", "c-")}{rng.choice(words)}{name("", " wide", "-inner", "_1")}">{text}</{tag}>'
 
     def prose(n: int) -> str:
@@ -304,7 +327,13 @@ def synthetic_pages(count: int, seed: int = 11) -> list[str]:
         return "".join(f"<!--M-->{p}<!--/M-->" for p in parts)
 
     for _ in range(count):
-        inner = [f"<!--M--><h1>{_words(rng, rng.randint(2, 9))}</h1><!--/M-->", prose(rng.choice((0, 1, 1, 2, 3, 6, 12, 25)))]
+        inner = [f"<!--M--><h1>{_words(rng, rng.randint(2, 9))}</h1><!--/M-->", prose(rng.choice((0, 1, 1, 2, 3, 6, 12, 25, 25) if rng.random() < 0.98 else (200,)))]
+        if rng.random() < 0.06:  # text that is broken into lines, without paragraphs
+            inner[1] = "<!--M-->" + plain("<br><br>".join(_words(rng, rng.choice((8, 25, 60))) for _ in range(rng.randint(1, 5)))) + "<!--/M-->"
+        style = rng.random()
+        if style < 0.08:  # nothing but the text
+            out.append(f"<html><head><title>{_words(rng, 4)}</title></head><body>{''.join(inner[rng.random() < 0.3 :])}</body></html>")
+            continue
         for group in ("share", "ad", "side", "notice"):
             if rng.random() < 0.2:
                 inner.append(box(group, rng.choice((links(rng.randint(2, 5)), f"<p>{_words(rng, rng.randint(4, 20))}</p>", _words(rng, rng.randint(3, 12)))), name("div", "section", "aside" if group == "side" else "div")))
@@ -313,7 +342,9 @@ def synthetic_pages(count: int, seed: int = 11) -> list[str]:
         talk = box("talk", f"<h3>{_words(rng, 1)}</h3>" + "".join(name("<div class='comment'>", "<li>", "<p>", "<article class='comment'>") + _words(rng, rng.randint(3, 40)) for _ in range(rng.randint(1, 4))), name("div", "section"))
         inside = rng.random() < 0.3
         body = "".join(inner) + (talk if inside else "")
-        body = rng.choice((f"<article>{body}</article>", f"<article>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", box("main", body), f"<div><section>{body}</section></div>", f'<div role="main">{body}</div>', body))
+        if rng.random() < 0.15:  # parts in boxes of their own
+            body = name(plain(body), plain(plain(body)), f'<div class="row"><div class="col">{body}</div></div>')
+        body = rng.choice((f"<article>{body}</article>", f"<article>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", box("main", body), box("main", body), f"<div><section>{body}</section></div>", f'<div role="main">{body}</div>', body, plain(body)))
         around = []
         if rng.random() < 0.8:
             around.append(name("<nav>" + links(rng.randint(3, 8)) + "</nav>", box("menu", links(rng.randint(3, 8))), "<header>" + links(4) + "</header>", f"<header><p>{_words(rng, 4)}</p></header>", box("edge", f"<p>{_words(rng, 5)}</p>")))
@@ -328,10 +359,14 @@ def synthetic_pages(count: int, seed: int = 11) -> list[str]:
         if rng.random() < 0.4:
             after.append(name(f"<aside><h3>{_words(rng, 2)}</h3>{links(4)}</aside>", f"<aside><p>{_words(rng, 20)}</p></aside>", box("side", links(5)), box("side", f"<p>{_words(rng, 25)}</p>")))
         if rng.random() < 0.9:
-            after.append(name(f"<footer>{_words(rng, rng.randint(2, 40))}</footer>", f"<footer><p>{_words(rng, rng.randint(2, 40))}</p>{links(3)}</footer>", box("edge", f"<p>&copy; {_words(rng, 9)}</p>"), f"<footer>&copy; {_words(rng, 12)}"))
+            after.append(name(f"<footer>{_words(rng, rng.randint(2, 40))}</footer>", f"<footer><p>{_words(rng, rng.randint(2, 40))}</p>{links(3)}</footer>", box("edge", f"<p>&copy; {_words(rng, 9)}</p>"), f"<footer>&copy; {_words(rng, 12)}", f"<p align='center'>&copy; {rng.randint(1995, 2025)} {_words(rng, rng.randint(2, 6))}</p>", f"<center>&copy; {_words(rng, 4)}</center>"))
         if rng.random() < 0.2:
             around, after = around + after[-1:], after[:-1]
         page = "".join(around) + body + "".join(after)
+        if style < 0.16:  # columns of a table
+            page = f"{around[0] if around else ''}<table width='100%'><tr><td>{links(rng.randint(4, 9))}</td><td>{body}</td></tr></table>{''.join(after)}"
+        if rng.random() < 0.08:  # pages of some servers are one form
+            page = f"<form method='post' action='/{made_up()}'><input type='hidden'>{page}</form>"
         if rng.random() < 0.3:
             page = f"<div class='{name('wrap', 'container', 'page', 'site')}'>{page}</div>"
         out.append(f"<html><head><title>{_words(rng, 4)}</title><style>p{{}}</style></head><body>{page}{name('</body></html>', '')}")
