@@ -2,8 +2,9 @@
 
 Every line gets features of itself and of its neighbours; a two-state chain (bad, good) with learned weights and
 transitions labels each line by forward-backward marginals, and a document's quality is the length-weighted mean of
-its lines' chance to be good, put on a probability scale by a logistic map. Lines inherit their document's label for
-training; the sample of labelled documents is bounded by `max_docs`.
+its lines' chance to be good, put on a probability scale by a logistic map. Only documents have labels: their lines inherit
+them, and documents composed of stretches of good and of bad ones, whose lines' labels are known, show the chain where
+quality changes within a text. The sample of labelled documents is bounded by `max_docs` and by bytes of text.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import filter_rows, map_batches, texts
@@ -20,6 +21,10 @@ from .neardup import word_hashes
 
 #: Labelled documents a model is fitted on at most, those with the smallest hash of their id.
 MAX_DOCS = 3000
+#: UTF-8 bytes of the texts of that sample at most, so that the driver's memory is bounded whatever their lengths.
+MAX_BYTES = 64 << 20
+#: Composed documents in training at most, and the lines of each of their stretches.
+MIXED, STRETCH = 600, 8
 _CLASSES = ("lower", "upper", "digit", "space", "mark", "pipe", "bang", "odd", "wide")
 
 
@@ -130,9 +135,13 @@ class Model:
     slope: float
     offset: float
 
-    def raw(self, docs: list[str]) -> np.ndarray:
+    def lines(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chance of each line of all documents to be good, its bytes, and the lines of each document."""
         x, size, counts = _gathered(docs)
-        good, _, _ = marginals(x @ self.weights, self.trans, counts)
+        return marginals(x @ self.weights, self.trans, counts)[0], size, counts
+
+    def raw(self, docs: list[str]) -> np.ndarray:
+        good, size, counts = self.lines(docs)
         firsts = np.cumsum(np.concatenate([[0], counts[:-1]]))
         weight = size + 1.0
         return np.add.reduceat(good * weight, firsts) / np.add.reduceat(weight, firsts)
@@ -142,28 +151,46 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * self.raw(docs) + self.offset)))
 
 
+def compose(docs: list[str], labels: list[int], most: int = MIXED, seed: int = 5) -> tuple[list[str], list[np.ndarray]]:
+    """Documents made of stretches of lines of documents with different labels in turn, and the labels of their lines."""
+    rng, kinds = np.random.default_rng(seed), [[k for k, y in enumerate(labels) if y == label] for label in (0, 1)]
+    out, marks = [], []
+    for _ in range(min(most, *map(len, kinds))):
+        label, lines, own = int(rng.integers(2)), [], []
+        for _ in range(int(rng.integers(2, 5))):
+            source = docs[kinds[label][int(rng.integers(len(kinds[label])))]].split("\n")
+            first = int(rng.integers(len(source)))
+            part = source[first : first + int(rng.integers(1, STRETCH + 1))]
+            lines += part
+            own += [label] * len(part)
+            label = 1 - label
+        out.append("\n".join(lines))
+        marks.append(np.array(own, np.float64))
+    return out, marks
+
+
 def fit_model(docs: list[str], labels: list[int], rounds: int = 150, l2: float = 1e-3) -> Model:
     """Maximum likelihood of the chain by Adam, then the logistic map on the same documents."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         only = float(y[0]) if len(y) else 0.5
         return Model(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, 20 * (2 * only - 1) if len(y) else 0.0)
-    x, _, counts = _gathered(docs)
+    mixed, marks = compose(docs, labels)
+    x, _, counts = _gathered([*docs, *mixed])
     x = x.astype(np.float64)
-    state = np.repeat(y, counts)
+    state = np.concatenate([np.repeat(y, counts[: len(docs)]), *marks])
     inner = np.ones(len(x), bool)
     inner[np.cumsum(counts) - 1] = False
+    at = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
-    for a in (0, 1):
-        seen[a, a] = (inner & (state == a)).sum()
-    w, trans = np.zeros(FEATURES), np.zeros((2, 2))
+    np.add.at(seen, (state[at].astype(int), state[at + 1].astype(int)), 1)
     theta, m, v = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
     for step in range(1, rounds + 1):
-        p, pairs, _ = marginals(x @ w, trans, counts)
+        p, pairs, _ = marginals(x @ theta[:FEATURES], theta[FEATURES:].reshape(2, 2), counts)
         grad = np.concatenate([(state - p) @ x, (seen - pairs).ravel()]) / len(x) - l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, trans = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
+    w, trans = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
     model = Model(w, trans, 1.0, 0.0)
     z = model.raw(docs)
     a, b = 4.0, -2.0
@@ -178,15 +205,38 @@ def fit_model(docs: list[str], labels: list[int], rounds: int = 150, l2: float =
     return Model(w, trans, a, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on the `max_docs` labelled documents with the smallest hash of their id; null labels, ids and texts do not count."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fit on the labelled documents with the smallest hash of their id, up to `max_docs` and `max_bytes` of text; null labels,
+    ids and texts do not count. An id with labels that conflict counts for none."""
     named = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    sample = named.orderBy(F.xxhash64("id"), "id", "y").limit(max_docs).dropDuplicates(["id"])
+    once = named.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
+    sample = once.orderBy(F.xxhash64("id"), "id").limit(max_docs)
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("text is not null")
-    rows = sorted((r["id"], r["text"], r["y"]) for r in source.join(F.broadcast(sample), "id").collect())
+    chosen = source.join(F.broadcast(sample), "id").withColumn("h", F.xxhash64("id"))
+    before = Window.orderBy("h", "id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = chosen.withColumn("upto", F.sum(F.octet_length("text")).over(before)).where(F.col("upto") <= max_bytes)
+    rows = sorted((r["id"], r["text"], r["y"]) for r in fits.select("id", "text", "y").collect())
     return fit_model([t for _, t, _ in rows], [y for _, _, y in rows])
 
 
+def label_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per line of each document: its id, line (from 0), start and end (UTF-8 bytes), good (chance of state 1), is_good (0.5 or
+    more). A null or empty text is one empty line. Null and repeated ids are kept; other columns are not read."""
+    schema = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("good", pa.float64()), ("is_good", pa.bool_())])
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        if not batch.num_rows:
+            return {f.name: [] for f in schema}
+        good, size, counts = model.lines(texts(batch))
+        first = np.cumsum(counts) - counts
+        ends = np.cumsum(size + 1) - 1
+        origin = np.repeat((ends - size)[first], counts)
+        return {"id": batch.column("id").take(pa.array(np.repeat(np.arange(len(counts)), counts))), "line": (np.arange(len(size)) - np.repeat(first, counts)).astype(np.int32), "start": ends - size - origin, "end": ends - origin, "good": good, "is_good": good >= 0.5}
+
+    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    return map_batches(source, kernel, "id long, line int, start long, end long, good double, is_good boolean", schema, 256).withColumnRenamed("id", id_col)
+
+
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id, score (chance of label 1), predicted (1 if score >= threshold). A null text counts as the empty
     one, which is scored as one empty line. Null and repeated ids are kept; other columns are not read."""
