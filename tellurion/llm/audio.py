@@ -3,9 +3,10 @@
 `write_stream` stores a payload losslessly in an MPEG-1 Layer III stream: an ID3v2 tag with the payload's length, a
 frame with the variable-bitrate table (Xing header: frames, bytes, 100 seek points), then mono frames at 48 kHz with a
 checksum and empty side information (silence), whose ancillary bytes hold the payload; the last frame takes the
-smallest bitrate that fits. `parse_stream` reads any stream of the MPEG-1/2/2.5 Layer I-III family: it skips and parses
-tags, finds frame headers again after junk, verifies checksums of Layer III frames, and yields exact durations (in
-samples) and the byte offset of each frame.
+smallest bitrate that fits. `parse_stream` reads streams of MPEG-1/2/2.5 Layers I to III: it parses ID3v2.2 to 2.4 and ID3v1
+tags and Xing, Info and VBRI tables, finds frame headers again after junk, verifies checksums of Layer III and of Layer I
+frames (those of Layer II cover allocation tables and are not verified), and yields exact durations (in samples, by rate)
+and the byte offset of each frame.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -101,28 +103,47 @@ def write_stream(payload: bytes) -> bytes:
     return tag + (bytes([0xFF, 0xFB, 3 << 4 | 1 << 2, 0xC0]) + bytes(17) + xing).ljust(sizes[3], b"\0") + bytes(body)
 
 
+def _plain(raw: bytes, bits: int = 8) -> int:
+    """A big-endian number of which each byte holds so many bits."""
+    n = 0
+    for b in raw:
+        n = n << bits | b & (1 << bits) - 1
+    return n
+
+
+def _tag_frames(raw: bytes, version: int, flags: int) -> dict[str, str]:
+    """Frames of an ID3v2 tag's body. Version 2 has names and sizes of three bytes, 3 plain sizes, 4 sizes of seven bits a byte."""
+    name, head, bits = (3, 6, 8) if version == 2 else (4, 10, 7 if version >= 4 else 8)
+    out: dict[str, str] = {}
+    if flags & 0x80 and version < 4:  # unsynchronisation: a zero byte follows each 255
+        raw = raw.replace(b"\xff\0", b"\xff")
+    at = (_plain(raw[:4], bits) + 4 * (version == 3)) if flags & 0x40 and version >= 3 else 0
+    while at + head <= len(raw) and raw[at] > 32:
+        n = _plain(raw[at + name : at + name + (3 if version == 2 else 4)], bits)
+        body = raw[at + head : at + head + n]
+        key, coding = raw[at : at + name].decode("latin-1"), {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0] if body else 0, "latin-1")
+        text = body[1:].decode(coding, "replace")
+        if key in ("TXXX", "TXX") and "\0" in text:
+            label, _, text = text.partition("\0")
+            key += ":" + label
+        out[key] = text.rstrip("\0").removeprefix("\ufeff")
+        at += head + n
+    return out
+
+
 def parse_stream(raw: bytes) -> dict:
     """tags, table (of variable bitrates, or None), frames, samples, hertz, crc_checked, crc_bad, junk (bytes skipped),
-    offsets (of the audio frames), payload (ancillary bytes, cut to the tag's length; None without that tag)."""
+    offsets (of the audio frames), seconds (each frame's samples by its own rate), payload (ancillary bytes, cut to the tag's length; None without that tag)."""
     at, tags, end = 0, {}, len(raw)
     while raw[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = sum((b & 127) << s for b, s in zip(raw[at + 6 : at + 10], (21, 14, 7, 0)))
-        p, stop = at + 10, min(at + 10 + size, end)
-        while p + 10 <= stop and raw[p] > 32:
-            n = sum((b & 127) << s for b, s in zip(raw[p + 4 : p + 8], (21, 14, 7, 0)))
-            value = raw[p + 11 : min(p + 10 + n, stop)]
-            name = raw[p : p + 4].decode("latin-1")
-            if name == "TXXX" and b"\0" in value:
-                key, _, value = value.partition(b"\0")
-                name += ":" + key.decode("utf-8", "replace")
-            tags[name] = value.decode("utf-8", "replace")
-            p += 10 + n
+        stop = min(at + 10 + _plain(raw[at + 6 : at + 10], 7), end)
+        tags |= _tag_frames(raw[at + 10 : stop], raw[at + 3], raw[at + 5])
         at = stop if stop > at else end
     if end - at >= 128 and raw[end - 128 : end - 125] == b"TAG":
         tags["v1"] = raw[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1")
         end -= 128
     table, offsets, samples, checked, bad, junk, hertz, data = None, [], 0, 0, 0, 0, 0, []
-    synced, view = False, memoryview(raw)
+    synced, view, seconds = False, memoryview(raw), Fraction(0)
     while at + 4 <= end:
         head = read_header(raw[at : at + 4])
         ok = head is not None and at + head[2] <= end
@@ -146,17 +167,22 @@ def parse_stream(raw: bytes) -> dict:
                     table[name], p = int.from_bytes(raw[p : p + 4], "big"), p + 4
             if flags & 4:
                 table["toc"], p = list(raw[p : p + 100]), p + 100
+        elif first and layer == 3 and raw[(vbri := at + 36) : vbri + 4] == b"VBRI":
+            entries, scale, width = _plain(raw[vbri + 18 : vbri + 20]), _plain(raw[vbri + 20 : vbri + 22]), _plain(raw[vbri + 22 : vbri + 24])
+            table = {"bytes": _plain(raw[vbri + 10 : vbri + 14]), "frames": _plain(raw[vbri + 14 : vbri + 18])}
+            table["toc"] = [_plain(raw[p : p + width]) * scale for p in range(vbri + 26, min(vbri + 26 + entries * width, at + size), max(1, width))]
         else:
-            if protected and layer == 3:
+            if protected and layer != 2:
                 checked += 1
-                bad += frame_crc(raw[at + 2 : at + 4] + raw[at + 6 : spot]) != int.from_bytes(raw[at + 4 : at + 6], "big")
+                bad += frame_crc(raw[at + 2 : at + 4] + raw[at + 6 : spot if layer == 3 else at + 6 + (16 if raw[at + 3] >> 6 == 3 else 32)]) != int.from_bytes(raw[at + 4 : at + 6], "big")
+            seconds += Fraction(count, hertz)
             offsets.append(at)
             samples += count
             data.append(view[spot : min(spot + FULL, at + size)] if layer == 3 else b"")
         synced, at = True, at + size
     junk += max(0, end - at) if at < end else 0
     n = tags.get("TXXX:payload_bytes", "")
-    return {"tags": tags, "table": table, "frames": len(offsets), "samples": samples, "hertz": hertz, "crc_checked": checked, "crc_bad": bad, "junk": junk, "offsets": offsets, "payload": b"".join(data)[: int(n)] if n.isdigit() else None}
+    return {"tags": tags, "table": table, "frames": len(offsets), "samples": samples, "hertz": hertz, "seconds": float(seconds), "crc_checked": checked, "crc_bad": bad, "junk": junk, "offsets": offsets, "payload": b"".join(data)[: int(n)] if n.isdigit() else None}
 
 
 def encode_media(docs: DataFrame, block: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +220,7 @@ def read_media(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"),
             out["tail_crc32"].append(zlib.crc32(payload[-64:]))
             for k in ("frames", "samples", "hertz", "crc_bad", "junk"):
                 out[k].append(got[k])
-            out["duration_s"].append(got["samples"] / got["hertz"] if got["hertz"] else 0.0)
+            out["duration_s"].append(got["seconds"])
             crc = zlib.crc32(np.array(seek, "<i8").tobytes())
             out["feature"].append(f"frames={got['frames']};samples={got['samples']};hz={got['hertz']};vbr={table.get('frames', -1)}/{table.get('bytes', -1)};crc_ok={got['crc_checked'] - got['crc_bad']};junk={got['junk']};seek={crc:08x}")
             if offsets:

@@ -81,8 +81,8 @@ def op9_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts stored as payload of MPEG streams, parsed back from the stored bytes."""
     from .audio import encode_media, read_media
 
-    return read_media(encode_media(documents(spark, sf_dir, "doc_id", "text")), offsets=False).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s"
+    return read_media(encode_media(documents(spark, sf_dir, "doc_id", "text"))).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "seek"
     )
 
 
