@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import zlib
+from decimal import Decimal, localcontext
 
 import numpy as np
-import pytest
 
 from tellurion.llm import audio, common, decontam, neardup, sharding
 
@@ -104,13 +106,27 @@ def test_matrix_sums_and_law():
     assert m.sum(1).tolist() == rows and sorted(m.sum(0).tolist()) == [6, 6, 6, 7]
     mean = np.mean([sharding.communication_matrix([10, 30], 4, s)[0] for s in range(2000)], axis=0)
     assert np.allclose(mean, 2.5, atol=0.1)
-    big = sharding._hypergeometric(np.random.Generator(np.random.PCG64(1)), 3 * 10**9, 2 * 10**9, 10**9)
-    assert abs(big - 6 * 10**8) < 10**5
+    rng = np.random.Generator(np.random.PCG64(1))
+    big = np.array([sharding._hypergeometric(rng, 3 * 10**10, 2 * 10**10, 10**7) for _ in range(2000)])
+    assert abs(big.mean() - 6 * 10**6) < 150 and abs(big.std() - 1549) < 100
+    with localcontext() as context:
+        context.prec = 50
+        for k in (0, 1, 5, 170, 1000):
+            assert abs(sharding._log_factorials(k) - Decimal(math.factorial(k)).ln()) < Decimal("1e-35")
+
+
+def test_large_draws_follow_the_law():
+    rng, choose = np.random.Generator(np.random.PCG64(3)), math.comb
+    for good, bad, n in ((30, 50, 20), (5, 900, 200)):
+        found = np.bincount([sharding._large(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1)
+        want = np.array([choose(good, k) * choose(bad, n - k) / choose(good + bad, n) * 20_000 for k in range(n + 1)])
+        often = want > 5
+        assert ((found - want)[often] ** 2 / want[often]).sum() < 3 * often.sum()
 
 
 def test_shards(spark, awkward, nothing):
     rows = spark.createDataFrame([(k, "same") for k in range(300)] + [(None, None)] * 50, "doc_id long, t string")
-    out = sharding.shard(rows, 7, block_rows=40).collect()
+    out = sharding.shard(rows.repartition(5), 7, sub_rows=40).collect()
     by = collections.defaultdict(list)
     for r in out:
         by[r.shard].append(r.slot)
@@ -118,8 +134,20 @@ def test_shards(spark, awkward, nothing):
     assert all(sorted(v) == list(range(50)) for v in by.values())
     assert sum(r.doc_id is None for r in out) == 50
     assert sharding.shard(awkward, 3).count() == len(TEXTS) and sharding.shard(nothing, 3).count() == 0
-    with pytest.raises(ValueError):
-        sharding.shard(spark.createDataFrame([(1,)], "Slot long"))
+    odd = sharding.shard(spark.createDataFrame([(1, 2, 3, 4)], "Slot long, b int, k int, _row int"))
+    assert odd.columns == ["b", "k", "_row", "shard", "slot"] and odd.count() == 1
+
+
+def test_op4_query(spark):
+    from tellurion.llm.queries import op4_sharding
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    out = op4_sharding(spark, folder).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in out} == {i: (len(t) + 16, zlib.crc32(t)) for i, t in texts.items()}
+    count = collections.Counter(r.shard for r in out)
+    assert {r.law for r in out} == {"rows"} and max(count.values()) - min(count.values()) <= 1 and set(count) <= set(range(40))
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(40) for k in range(count[s])]
 
 
 def test_streams():
@@ -139,6 +167,28 @@ def test_streams():
     assert audio.parse_stream(b"")["frames"] == 0 and audio.parse_stream(b"\xff" * 50)["frames"] == 0
 
 
+def test_tags_and_tables_of_other_writers():
+    frame = bytes([0xFF, 0xFB, 9 << 4, 0xC4]).ljust(417, b"\0")  # MPEG-1 Layer III, 128 kbit/s, 44.1 kHz
+    text = b"\0" + b"t" * 200
+    v3 = b"TIT2" + len(text).to_bytes(4, "big") + b"\0\0" + text + b"TPE1" + (4).to_bytes(4, "big") + b"\0\0" + b"\0abc"
+    got = audio.parse_stream(b"ID3\3\0\0" + audio._syncsafe(len(v3)) + v3 + frame * 3)
+    assert got["tags"] == {"TIT2": "t" * 200, "TPE1": "abc"} and got["frames"] == 3 and got["junk"] == 0
+    v2 = b"TT2" + (4).to_bytes(3, "big") + b"\0xyz" + b"TP1" + (7).to_bytes(3, "big") + b"\1\xff\xfe" + "é!".encode("utf-16-le")
+    assert audio.parse_stream(b"ID3\2\0\0" + audio._syncsafe(len(v2)) + v2 + frame * 2)["tags"] == {"TT2": "xyz", "TP1": "é!"}
+    vbri = b"VBRI" + b"\0\1\0\0\0\0" + (1000).to_bytes(4, "big") + (3).to_bytes(4, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + b"\0\1" + (500).to_bytes(2, "big") * 2
+    head = (frame[:36] + vbri).ljust(417, b"\0")
+    got = audio.parse_stream(head + frame * 3)
+    assert got["table"] == {"bytes": 1000, "frames": 3, "toc": [500, 500]} and got["frames"] == 3 and got["offsets"][0] == 417
+    slow = bytes([0xFF, 0xFB, 9 << 4 | 2 << 2, 0xC4]).ljust(576, b"\0")  # 32 kHz
+    assert abs(audio.parse_stream(frame * 2 + slow * 2)["seconds"] - 2 * 1152 * (1 / 44100 + 1 / 32000)) < 1e-12
+    layer1 = bytearray(bytes([0xFF, 0xFE, 4 << 4, 0xC4]).ljust(136, b"\0"))
+    size = audio.read_header(bytes(layer1[:4]))[2]
+    layer1 = layer1[:size].ljust(size, b"\0")
+    layer1[4:6] = audio.frame_crc(bytes(layer1[2:4] + layer1[6:22])).to_bytes(2, "big")
+    got = audio.parse_stream(bytes(layer1) * 2)
+    assert (got["frames"], got["crc_checked"], got["crc_bad"]) == (2, 2, 0)
+
+
 def test_media_frames(awkward, nothing):
     found = audio.read_media(audio.encode_media(awkward)).collect()
     want = sorted((str(i), hashlib.sha256((t or "").encode().ljust(max(64, -(-len((t or "").encode()) // 64) * 64), b"\0")).hexdigest()) for i, t in TEXTS)
