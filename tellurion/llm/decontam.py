@@ -5,7 +5,8 @@ BM25 impacts divided by the item's own best score (so 1 means all of an item's t
 postings. Every passage of every training text, overlapping word windows that hold any run as long as the longest item
 whole, is a query: windows whose terms' maxima stay under the threshold are skipped at once, the others run
 block-max WAND, and every item above the threshold comes back. A hit is confirmed by the share of the item's 5-word shingles that the passage
-holds, in the question's part and in the answer's part each.
+holds, in the question's part and in the answer's part each; an item of one text is one part. Document frequencies, the mean
+length and the window size are those of all items, however many passes they take.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import filter_rows, map_batches, texts
+from .common import filter_rows, map_batches, materialize, texts
 from .neardup import _mix
 
-ITEMS, BLOCK, RANGES, K1, B = 20_000, 32, 64, 1.2, 0.75
+ITEMS, BYTES, BLOCK, RANGES, K1, B = 20_000, 32 << 20, 32, 64, 1.2, 0.75
 
 
 def _lut() -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +51,10 @@ def _shingles(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """Impact-scored postings of test items. `items` are (id, question, answer); an item without words is left out."""
+    """Impact-scored postings of test items. `items` are (id, question, answer); an item without words is left out. `known` has the
+    statistics of a larger set that the items are of: items, mean words, most words, and frequencies by term."""
 
-    def __init__(self, items: list[tuple[int, str, str]], shingle: int = 5):
+    def __init__(self, items: list[tuple[int, str, str]], shingle: int = 5, known: tuple[int, float, int, dict[int, int]] | None = None):
         parsed = []
         for item, question, answer in items:
             q, a = (word_hashes(x.lower().encode())[2] for x in (question, answer))
@@ -62,14 +64,14 @@ class Index:
         self.parts = [tuple(np.unique(_shingles(x, shingle)) for x in (q, a) if len(x)) for _, q, a in parsed]
         self.sizes = [tuple(min(shingle, len(x)) for x in (q, a) if len(x)) for _, q, a in parsed]
         every = [np.concatenate([q, a]) for _, q, a in parsed]
-        self.longest = max(map(len, every), default=1)
-        mean, df, n = (sum(map(len, every)) / len(every) if every else 1), {}, len(every)
-        tf = []
-        for words in every:
-            own, count = np.unique(words, return_counts=True)
-            tf.append((own, count))
-            for t in own.tolist():
-                df[t] = df.get(t, 0) + 1
+        tf = [np.unique(words, return_counts=True) for words in every]
+        if known is None:
+            df: dict[int, int] = {}
+            for own, _ in tf:
+                for t in own.tolist():
+                    df[t] = df.get(t, 0) + 1
+            known = len(every), sum(map(len, every)) / max(1, len(every)), max(map(len, every), default=1), df
+        n, mean, self.longest, df = known
         post: dict[int, list[tuple[int, float]]] = {}
         for k, (own, count) in enumerate(tf):
             norm = K1 * (1 - B + B * len(every[k]) / mean)
@@ -83,7 +85,7 @@ class Index:
         self.most = np.array([max(x) for _, x in self.post] + [0.0])
         # Maxima of each term over ranges of items; they bound many passages at once before any is searched.
         self.ranges = np.zeros((len(self.post), RANGES), np.float32)
-        wide = max(1, -(-n // RANGES))
+        wide = max(1, -(-len(every) // RANGES))
         for t, (own, x) in enumerate(self.post):
             np.maximum.at(self.ranges[t], np.array(own) // wide, np.array(x, np.float32))
 
@@ -186,31 +188,45 @@ class Index:
         return out
 
 
-def halves(text: str) -> tuple[str, str]:
-    """Question and answer of an item that has one text: its words' first and second half; a text of under 10 words is all question."""
-    words = text.split()
-    cut = len(words) if len(words) < 10 else len(words) // 2
-    return " ".join(words[:cut]), " ".join(words[cut:])
+def _statistics(items: DataFrame) -> tuple[tuple[int, float, int], DataFrame]:
+    """Items with words, their mean and most words; and how many items have each term (a distributed table)."""
+    schema = pa.schema([("n", pa.int64()), ("terms", pa.list_(pa.int64()))])
 
+    def kernel(batch: pa.RecordBatch) -> dict:
+        own = [np.concatenate([word_hashes((x or "").lower().encode())[2] for x in pair]) for pair in zip(batch.column("q").to_pylist(), batch.column("a").to_pylist())]
+        return {"n": [len(w) for w in own], "terms": [np.unique(w).view(np.int64).tolist() for w in own]}
 
-def indexes(benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str | None = None, answer_col: str | None = None, items_per_pass: int = ITEMS):
-    """Broadcast indexes over the items, about `items_per_pass` each: a hash of the id decides the pass of an item."""
+    counted = map_batches(items.dropDuplicates(), kernel, "n long, terms array<long>", schema).where("n > 0")
+    total = counted.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    return (total[0], total[1] or 0.0, total[2] or 1), counted.select(F.explode("terms").alias("t")).groupBy("t").count()
+
+
+def indexes(benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str | None = None, answer_col: str | None = None, items_per_pass: int = ITEMS, bytes_per_pass: int = BYTES):
+    """Broadcast indexes over the items, about `items_per_pass` items and `bytes_per_pass` bytes of text each: a hash of the id
+    decides the pass of an item. Null ids are left out."""
     if question_col:
         items = benchmark.select(benchmark[item_col].cast("long").alias("i"), F.coalesce(benchmark[question_col].cast("string"), F.lit("")).alias("q"), F.coalesce(benchmark[answer_col].cast("string"), F.lit("")).alias("a"))
     else:
-        items = benchmark.select(benchmark[item_col].cast("long").alias("i"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("q"), F.lit(None).cast("string").alias("a"))
-    passes = max(1, -(-items.count() // items_per_pass))
+        items = benchmark.select(benchmark[item_col].cast("long").alias("i"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("q"), F.lit("").alias("a"))
+    items = items.where("i is not null")
+    total = items.agg(F.count("*"), F.sum(F.octet_length("q") + F.octet_length("a"))).first()
+    passes = max(1, -(-total[0] // items_per_pass), -(-(total[1] or 0) // bytes_per_pass))
+    whole, frequency = _statistics(items) if passes > 1 else (None, None)
     for k in range(passes):
-        block = items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k)
-        rows = sorted({(r["i"], *(halves(r["q"]) if r["a"] is None else (r["q"], r["a"]))) for r in block.collect() if r["i"] is not None})
-        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows))
+        rows = sorted({(r["i"], r["q"], r["a"]) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k).collect()})
+        known = None
+        if whole:
+            terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(word_hashes(x.lower().encode())[2] for r in rows for x in r[1:])])).view(np.int64)
+            wanted = benchmark.sparkSession.createDataFrame([(t,) for t in terms.tolist()], "t long")
+            known = *whole, {r["t"] & (1 << 64) - 1: r["count"] for r in frequency.join(wanted, "t", "left_semi").collect()}
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows, known=known))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, theta: float = 0.7, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str | None = None, answer_col: str | None = None, items_per_pass: int = ITEMS) -> DataFrame:
     """Per document: its id, contaminated, n_items, hits (array of item_id, score, overlap, start, end: bytes of the lower-cased text).
 
-    An item's text may be one column (`text_col` of `benchmark`, cut in halves) or question and answer columns. Items go to the
-    executors `items_per_pass` at a time, so their size is bounded; each pass reads all documents. Null and empty texts
+    An item's text may be one column (`text_col` of `benchmark`) or question and answer columns, which must both be held. Items go
+    to the executors `items_per_pass` at a time, so their size is bounded; each pass reads all documents. Null and empty texts
     have no hits; null ids are kept; repeated ids are kept as rows of their own; items that are null or have no words are left out.
     """
     hit = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -232,7 +248,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, theta: float = 0.7, ove
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, theta: float = 0.7, overlap: float = 0.8, text_col: str = "text", items_per_pass: int = ITEMS) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no item of `benchmark`; no shuffle."""
+    """The rows of `docs`, all columns, that hold no item of `benchmark`; no shuffle. Each pass over more items than one takes is a
+    written table, so executors hold one index at a time."""
+    last = None
     for index in indexes(benchmark, items_per_pass=items_per_pass):
-        docs = filter_rows(docs, lambda own, index=index: [not hits for hits in index.value.search(own, theta, overlap)], text_col)
+        if last is not None:
+            docs = materialize(docs, "clean")
+            last.unpersist()
+        docs, last = filter_rows(docs, lambda own, index=index: [not hits for hits in index.value.search(own, theta, overlap)], text_col), index
     return docs
