@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from .common import held, map_batches, texts
 from .tokens import byte_chars
 
-#: Words whose ids are kept per process; a bound of memory only.
-MEMO_WORDS = 300_000
+#: Words whose ids are kept per process, and letters of the longest kept; bounds of memory only.
+MEMO_WORDS, MEMO_CHARS = 300_000, 40
 _ODD = regex.compile(r"\s \s?| \s|\s\s")
 
 
@@ -70,6 +70,7 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.long = 0  # letters of long pre-tokens among them
 
     def _pieces(self, wanted: list[str]) -> None:
         """Encode pre-tokens into the memo."""
@@ -78,6 +79,7 @@ class Codec:
             mapped = [p.encode().decode("latin-1").translate(self.table) for p in group]
             for piece, ids in zip(group, self.model.encode(mapped, out_type=int, num_threads=1)):
                 whole = self.ranks.get(piece.encode())
+                self.long += len(piece) if len(piece) > MEMO_CHARS else 0
                 self.pieces[piece] = np.array(ids if whole is None else [whole], "<i4").tobytes()
 
     def _parts(self, parts: list[str]) -> bytes:
@@ -86,8 +88,9 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text."""
-        if len(self.pieces) > MEMO_WORDS:
+        if len(self.pieces) > MEMO_WORDS or self.long > MEMO_CHARS * 25_000:
             self.pieces.clear()
+            self.long = 0
         if _ODD.search(text):
             return np.frombuffer(self._parts(self.split.findall(text)), "<i4")
         words = text.replace("\n", " \n").split(" ")
@@ -104,8 +107,10 @@ class Codec:
                         missing[w] = split.findall(w if w[:1] == "\n" else " " + w)
             self._pieces([p for p in {p: 0 for parts in missing.values() for p in parts} if p not in self.pieces])
             for w, parts in missing.items():
-                memo[w] = b"".join([self.pieces[p] for p in parts])
-            found = [memo[w] if ids is None else ids for w, ids in zip(words[1:], found)]
+                missing[w] = ids = b"".join([self.pieces[p] for p in parts])
+                if len(w) <= MEMO_CHARS:
+                    memo[w] = ids
+            found = [(memo.get(w) or missing[w]) if ids is None else ids for w, ids in zip(words[1:], found)]
             if len(memo) >= MEMO_WORDS:
                 self.older, self.words = memo, {}
         return np.frombuffer(self._parts(self.split.findall(words[0])) + b"".join(found), "<i4")

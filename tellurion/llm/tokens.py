@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from .common import held, map_batches, texts
 
-#: Words whose tables are kept per process, and pairs of tokens; bounds of memory only.
-MEMO_WORDS, PAIRS = 300_000, 1_000_000
+#: Words whose tables are kept per process, pairs of tokens, and letters of the longest word kept; bounds of memory only.
+MEMO_WORDS, PAIRS, MEMO_CHARS = 300_000, 1_000_000, 40
 _ODD = regex.compile(r"\s \s?| \s|\s\s")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -171,10 +171,14 @@ class PrefixCounter:
                         for piece in _SPLIT.findall(w if w[:1] == "\n" else " " + w):
                             part = pieces.get(piece)
                             if part is None:
-                                part = pieces[piece] = self._pretoken(piece)
+                                part = self._pretoken(piece)
+                                if len(piece) <= MEMO_CHARS:
+                                    pieces[piece] = part
                             parts.append(part)
                         table = b"".join(parts)
-                    memo[w] = tables[k] = table
+                    tables[k] = table
+                    if len(w) <= MEMO_CHARS:
+                        memo[w] = table
             if len(memo) >= MEMO_WORDS:
                 self.older, self.words = memo, {}
             if len(pieces) >= MEMO_WORDS:
