@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, pieces, texts
+from .common import Room, map_batches, pieces, texts
 
-COORDINATES, BLOCK, BROADCAST_IDS = 64, 512, 2_000_000
+COORDINATES, BLOCK, BROADCAST_IDS, MISS = 64, 512, 2_000_000, 1e-9
 #: Bytes that words are hashed of at once; a bound of memory only.
 PIECE = (1 << 18) - 1
 _POWER, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 
 
-def least_collisions(k: int, percent: int, miss: float = 1e-5) -> int:
+def least_collisions(k: int, percent: int, miss: float = MISS) -> int:
     """The largest m for which a pair at the threshold has fewer than m collisions with a chance under `miss`."""
     p, below, m = percent / 100, 0.0, 0
     while True:
@@ -149,38 +149,43 @@ def signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
     return out
 
 
+def _set_keys(sets: list[np.ndarray]) -> list[bytes | None]:
+    import xxhash
+
+    return [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+
+
 def _signed(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), sig of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.list_(pa.int32()))])
+    """doc_id, text_hash, n_shingles, set_key (null for an empty set), sig of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.list_(pa.int32()))])
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        import xxhash
-
         sets = shingle_sets([t.encode() for t in texts(batch)], words)
         sig = signatures(sets, k).view(np.int32)
-        keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        return {"doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "set_key": keys, "sig": pa.ListArray.from_arrays(np.arange(0, sig.size + 1, k, dtype=np.int32), pa.array(sig.ravel()))}
+        return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": [len(s) for s in sets], "set_key": _set_keys(sets), "sig": pa.ListArray.from_arrays(np.arange(0, sig.size + 1, k, dtype=np.int32), pa.array(sig.ravel()))}
 
-    return map_batches(docs, kernel, "doc_id long, n_shingles long, set_key binary, sig array<int>", schema, 256)
+    return map_batches(docs, kernel, "doc_id long, text_hash long, n_shingles long, set_key binary, sig array<int>", schema, 256)
 
 
 def _sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and its full set as array<long>."""
-    schema = pa.schema([("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    """set_key and the full set as array<long> of each document."""
+    schema = pa.schema([("set_key", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        sets = [s.view(np.int64) for s in shingle_sets([t.encode() for t in texts(batch)], words)]
+        own = shingle_sets([t.encode() for t in texts(batch)], words)
+        sets = [s.view(np.int64) for s in own]
         flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-        return {"doc_id": batch.column("doc_id"), "hashes": pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(flat))}
+        return {"set_key": _set_keys(own), "hashes": pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(flat))}
 
-    return map_batches(docs, kernel, "doc_id long, hashes array<long>", schema, 256)
+    return map_batches(docs, kernel, "set_key binary, hashes array<long>", schema, 256)
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, room: Room, name: str) -> DataFrame:
     """(node, root): the smallest node reachable over the edges (a, b), for every node of an edge.
 
-    Alternating large-star and small-star contraction; each round is a written table."""
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    Alternating large-star and small-star contraction; each round is a written table, and the one before it is deleted."""
+    number = 0
+    now = room.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-{number}")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -189,8 +194,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = materialize(small, name)
+        number += 1
+        now = room.write(small, f"{name}-{number}")
         fresh = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        room.drop(f"{name}-{number - 1}")
         if fresh == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = fresh
@@ -210,81 +217,116 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both * 100 >= (len(x) + len(y) - both) * percent
 
 
-def _cell_links(rows: list[tuple], percent: int, least: int) -> list[tuple[int, int]]:
-    """Links between the sides of one cell, at most one per pair of components: `least` collisions of the signatures,
-    then exact on the full sets.
-
-    Rows are (rep, comp, side, set, signature); side 0 meets side 1, side 2 meets all."""
+def _sides(rows: list[tuple], least: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """For each row of the left side the rows of the right side, of other components, that collide in `least` coordinates.
+    Rows are (rep, comp, side, signature, ...); side 0 meets side 1, side 2 meets all."""
     left, right = [r for r in rows if r[2] != 1], [r for r in rows if r[2] != 0]
-    if not left or not right:
-        return []
-    signed, comp = np.stack([r[4] for r in right]), np.array([r[1] for r in right], np.int64)
+    if left and right:
+        signed, comp = np.stack([r[3] for r in right]), np.array([r[1] for r in right], np.int64)
+        for row in left:
+            found = np.flatnonzero((comp != row[1]) & ((signed == row[3]).sum(1) >= least)).tolist()
+            if found:
+                yield row, [right[k] for k in found]
+
+
+def _meeting(rows: list[tuple], least: int) -> set[int]:
+    """Who of a cell collides with anyone of another component."""
+    return {r[0] for row, others in _sides(rows, least) for r in (row, *others)}
+
+
+def _cell_links(rows: list[tuple], least: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the sides of one cell, at most one per pair of components, exact on the full sets (the last member)."""
     roots, found = _Roots(), []
-    for rep, own, _, hashes, sig in left:
-        for k in np.flatnonzero((comp != own) & ((signed == sig).sum(1) >= least)).tolist():
-            x, y = roots.find(own), roots.find(int(comp[k]))
-            if x != y and _similar(hashes, right[k][3], percent):
+    for row, others in _sides(rows, least):
+        for other in others:
+            x, y = roots.find(row[1]), roots.find(other[1])
+            if x != y and _similar(row[4], other[4], percent):
                 roots[max(x, y)] = min(x, y)
-                found.append((max(rep, right[k][0]), min(rep, right[k][0])))
+                found.append((max(row[0], other[0]), min(row[0], other[0])))
     return found
 
 
-def _compare(rows: DataFrame, percent: int, least: int) -> DataFrame:
-    """Links (a, b) from rows (g, i, j, rep, comp, side, hashes, sig) sorted by cell (g, i, j)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _by_cell(rows: DataFrame, columns: tuple[str, ...], kernel, schema: pa.Schema, sql: str) -> DataFrame:
+    """`kernel` (members of a cell -> columns of results, or None) over the cells (g, i, j) of rows (g, i, j, rep, comp, side, *columns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
 
         def ended() -> Iterator[pa.RecordBatch]:
-            found = _cell_links(members, percent, least)
+            found = kernel(key, members) if members else None
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema)], schema=schema)
 
         for piece in pieces(batches, 1024):
             cols = [piece.column(c).to_pylist() for c in ("g", "i", "j", "rep", "comp", "side")]
-            for *now, rep, comp, side, hashes, sig in zip(*cols, piece.column("hashes"), piece.column("sig")):
+            for *now, rep, comp, side, rest in zip(*cols, zip(*[piece.column(c) for c in columns])):
                 if now != key:
                     yield from ended()
                     key, members = now, []
-                members.append((rep, comp, side, hashes.values.to_numpy(), sig.values.to_numpy()))
+                members.append((rep, comp, side, *(x.values.to_numpy() for x in rest)))
         yield from ended()
 
-    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").select("g", "i", "j", "rep", "comp", "side", *columns).mapInArrow(run, sql)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its id, n_shingles, component_id (smallest id reachable over links, itself included), kept.
+def _compare(cells: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, least: int, room: Room, name: str) -> DataFrame:
+    """Links (a, b) of cells (g, i, j, rep, comp, side): signatures alone say who meets anyone, and only their full sets are fetched."""
+    narrow = "g long, i int, j int, rep long, comp long, side int"
+    kinds = pa.schema([("g", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("rep", pa.int64()), ("comp", pa.int64()), ("side", pa.int32())])
+
+    def meeting(key, members):
+        who = _meeting(members, least)
+        rows = [(*key, *m[:3]) for m in members if m[0] in who]
+        return list(zip(*rows)) if rows else None
+
+    def links(key, members):
+        found = _cell_links(members, least, percent)
+        return list(zip(*found)) if found else None
+
+    signed = cells.join(reps.select("rep", "sig"), "rep")
+    few = room.write(_by_cell(signed, ("sig",), meeting, kinds, narrow), name)
+    whole = few.join(reps.select("rep", "sig"), "rep").join(sets, "rep")
+    return _by_cell(whole, ("sig", "hashes"), links, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COORDINATES, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """Per document: its id, n_shingles, component_id (smallest id reachable over links, itself included), kept (id =
+    component_id), and with `with_hash` text_hash (xxhash64 of the text).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets. Null, empty and word-less
-    texts have an empty set and are linked with nothing. Rows with a null id are dropped from links and form components of their
-    own (component_id null, kept true). Rows that repeat an id count as one document with equal sets. Other columns
-    are not read, so their names cannot clash. An empty table gives no rows.
+    texts have an empty set and are linked with nothing. Rows are judged by their own text: rows that repeat an id with
+    other texts may lie in other components, rows that repeat id and text say the same. Rows with a null id have the component
+    of their text (null and kept where no row with an id is reachable) and never name one. Other columns are not read, so
+    their names cannot clash. An empty table gives no rows.
     """
-    m = least_collisions(k, percent)
+    m = least_collisions(k, percent, miss)
+    room = Room(docs.sparkSession, "neardup")
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    base = materialize(_signed(source, words, k), "signatures")
-    reps = materialize(base.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")), "representatives")
+    base = room.write(_signed(source.withColumn("text_hash", F.xxhash64("text")), words, k), "signatures")
+    # Representatives of equal sets are numbered in the order of their smallest id, so the smallest number of a component names it.
+    firsts = base.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
+    reps = room.write(firsts.orderBy(F.asc_nulls_last("doc_id"), "set_key").withColumn("rep", F.monotonically_increasing_id()), "representatives")
 
     posted = reps.select("rep", F.posexplode("sig").alias("c", "v")).select("rep", F.xxhash64("c", "v").alias("h"))
     shared = posted.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     lists = posted.join(shared, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("own")).where(F.size("own") >= m)
     prefix = lists.select("rep", F.expr("aggregate(own, 0L, (s, x) -> s + x.df)").alias("weight"), F.explode(F.expr(f"slice(own, 1, size(own) - {m} + 1)")).alias("e")).select("rep", "weight", F.col("e.h").alias("h"))
-    prefix = materialize(prefix.join(reps.select("rep", "n"), "rep"), "prefixes")
+    prefix = room.write(prefix.join(reps.select("rep", "n"), "rep"), "prefixes")
 
-    sets = materialize(_sets_of(_only(source, prefix.select(F.col("rep").alias("doc_id")).distinct()), words), "sets")
+    wanted = reps.join(prefix.select("rep").distinct(), "rep", "left_semi").select("rep", "set_key", "doc_id")
+    sets = room.write(_sets(source, room.write(wanted, "wanted"), words), "sets")
 
     hubs = prefix.groupBy("h").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("hub"), F.count("*").alias("members")).where("members > 1")
     fits = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
     stars = prefix.join(hubs, "h").where(fits & (F.col("rep") != F.col("hub.rep"))).select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct()
-    first = _confirm(_matches(stars, reps, m), sets, percent, "stars")
-    roots = components(first, "components")
+    first = room.write(_confirmed(_matches(stars, reps, m), sets, percent), "stars")
+    roots = components(first, room, "star-components")
 
     member = prefix.select("rep").distinct().join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp"))
-    member = materialize(member, "members")
+    member = room.write(member, "members")
     placed = prefix.select("h", "rep").join(member, "rep")
     core = hubs.select("h", F.col("hub.rep").alias("rep")).join(member, "rep").select("h", F.col("comp").alias("core"))
-    outside = materialize(placed.join(core, "h").where("comp <> core").select("h", "rep", "comp", "core"), "outside")
+    outside = room.write(placed.join(core, "h").where("comp <> core").select("h", "rep", "comp", "core"), "outside")
 
     # Who is outside the core of one of its lists meets the core's members, once per core ...
     meet = outside.select("rep", "comp", F.col("core").alias("g")).distinct()
@@ -292,31 +334,48 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     cells_of = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
     own = lambda c: F.pmod(F.xxhash64("rep", F.lit(7)), cells_of(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), cells_of(c) - 1))
-    guests = meet.join(wide, "g").select("g", own("guests").alias("i"), every("hosts").alias("j"), "rep", "comp", F.lit(0).alias("side"))
-    hosts = member.withColumn("g", F.col("comp")).join(wide, "g").select("g", every("guests").alias("i"), own("hosts").alias("j"), "rep", "comp", F.lit(1).alias("side"))
-    whole = lambda cells: cells.join(reps.select("rep", "sig"), "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    near = _compare(whole(guests.unionByName(hosts)), percent, m)
+    guests = _salted(meet, wide).select("g", own("guests").alias("i"), every("hosts").alias("j"), "rep", "comp", F.lit(0).alias("side"))
+    hosts = _salted(member.withColumn("g", F.col("comp")), wide).select("g", every("guests").alias("i"), own("hosts").alias("j"), "rep", "comp", F.lit(1).alias("side"))
+    near = _compare(guests.unionByName(hosts), reps, sets, percent, m, room, "near-cells")
     # ... and the others outside, list by list, in pairs of blocks.
     lists = outside.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    block = outside.select(F.col("h").alias("g"), "rep", "comp").join(lists, "g").withColumn("own", own("all"))
+    block = _salted(outside.select(F.col("h").alias("g"), "rep", "comp"), lists).withColumn("own", own("all"))
     cells = block.select("g", "rep", "comp", "own", every("all").alias("k")).select(
         "g", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "rep", "comp", F.when(F.col("own") == F.col("k"), 2).when(F.col("own") < F.col("k"), 0).otherwise(1).alias("side")
     )
-    rest = _compare(whole(cells), percent, m)
-    second = materialize(near.unionByName(rest).distinct(), "links")
-    final = components(first.unionByName(second), "components")
+    rest = _compare(cells, reps, sets, percent, m, room, "list-cells")
+    second = room.write(near.unionByName(rest).distinct(), "links")
+    final = components(first.unionByName(second), room, "components")
+
+    moved = final.where("node <> root").join(reps.select(F.col("rep").alias("node"), "set_key"), "node")
+    named = room.write(_named(moved, reps), "names")
+    room.drop("prefixes", "wanted", "sets", "stars", "members", "outside", "near-cells", "list-cells", "links")
+    out = base.drop("sig").join(reps.select("set_key", F.col("doc_id").alias("first")), "set_key", "left").join(named, "set_key", "left")
+    out = out.select("doc_id", *["text_hash"] * with_hash, "n_shingles", F.coalesce("name", "first", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())).withColumnRenamed("doc_id", id_col)
+
+
+def _named(moved: DataFrame, reps: DataFrame) -> DataFrame:
+    """set_key and the id that names the component, of representatives that do not name it themselves. A component's
+    representatives all look up one root, so the roots' side is salted."""
+    roots = moved.select(F.col("root").alias("rep")).distinct().join(reps.select("rep", "doc_id"), "rep").select(F.col("rep").alias("g"), F.col("doc_id").alias("name"))
+    return _salted(moved.select("set_key", F.col("node").alias("rep"), F.col("root").alias("g")), roots).select("set_key", "name")
+
 
-    named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
-    out = base.drop("sig").join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).withColumnRenamed("doc_id", id_col)
+def _salted(rows: DataFrame, facts: DataFrame, salts: int = 16) -> DataFrame:
+    """`rows` (g, rep, ...) with the one row of `facts` for their g; a g that many rows have is dealt to several tasks."""
+    many = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(salts)).cast("int")).join(many, ["g", "salt"]).drop("salt")
 
 
-def _only(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One row of `source` for each wanted doc_id. Up to `BROADCAST_IDS` ids, counted first, are broadcast, so that texts
-    stay where they are; more are joined by a shuffle."""
-    wanted = materialize(wanted, "wanted")
+def _sets(source: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """rep and full set of the representatives `wanted` (rep, set_key, doc_id). Up to `BROADCAST_IDS` ids, counted first, are
+    broadcast, so that texts stay where they are; more are joined by a shuffle."""
     few = wanted.count() <= BROADCAST_IDS
-    return source.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    near = lambda df: F.broadcast(df) if few else df
+    ids = wanted.select(F.col("doc_id").alias("wanted")).distinct()
+    same = source.join(near(ids), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    return _sets_of(same.select("text"), words).join(near(wanted.select("rep", "set_key")), "set_key").select("rep", "hashes").dropDuplicates(["rep"])
 
 
 def _matches(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
@@ -326,9 +385,9 @@ def _matches(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(collisions >= least).select("a", "b")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs whose full sets are similar enough, as a written table."""
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"s{x}")) for x in "ab")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    left, right = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     checked = pairs.join(left, "a").join(right, "b").select("a", "b", (both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).alias("linked"))
-    return materialize(checked.where("linked").select("a", "b"), f"{name}-links")
+    return checked.where("linked").select("a", "b")
