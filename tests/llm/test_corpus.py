@@ -73,13 +73,16 @@ def test_near_duplicates_of_awkward_rows(awkward, nothing):
     assert len(found) == len(TEXTS)
     by = {r.doc_id: r.component_id for r in found}
     assert by[4] == 1 and by[9] == 1 and by[5] == 5 and by[2] == 2 and by[3] == 3 and by[None] is None
+    assert all(r.kept == (r.doc_id == r.component_id or r.doc_id is None) for r in found)
     assert neardup.near_duplicates(nothing).count() == 0
 
 
 def test_cells_skip_nothing():
     sets = [np.array(sorted(x), np.uint64).view(np.int64) for x in ({1, 2, 3, 4, 5, 6, 7}, {1, 2, 3, 4, 5, 6, 7, 8}, {1, 2, 9}, {20})]
-    rows = [(k, k, 2, s, sig) for k, (s, sig) in enumerate(zip(sets, neardup.signatures([s.view(np.uint64) for s in sets], 64).view(np.int32)))]
-    assert neardup._cell_links(rows, 80, neardup.least_collisions(64, 80)) == [(1, 0)]
+    signed = neardup.signatures([s.view(np.uint64) for s in sets], 64).view(np.int32)
+    least = neardup.least_collisions(64, 80)
+    assert sorted(neardup._meeting([(k, k, 2, sig) for k, sig in enumerate(signed)], least)) == [0, 1]
+    assert neardup._cell_links([(k, k, 2, sig, s) for k, (s, sig) in enumerate(zip(sets, signed))], least, 80) == [(1, 0)]
 
 
 def test_words_hashed_in_pieces(monkeypatch):
@@ -97,7 +100,7 @@ def test_one_model_is_held():
 
 
 def test_least_collisions():
-    assert neardup.least_collisions(64, 85) == 41 and neardup.least_collisions(64, 100) == 64
+    assert neardup.least_collisions(64, 85) == 34 and neardup.least_collisions(64, 85, 1e-5) == 41 and neardup.least_collisions(64, 100) == 64
 
 
 def test_matrix_sums_and_law():
@@ -224,6 +227,36 @@ def test_leaks(spark, nothing):
     assert decontam.decontaminate(nothing, items).count() == 0 and decontam.decontaminate(docs, items.where("false")).where("contaminated").count() == 0
 
 
+def test_edited_items_near_the_threshold(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    items = {k: [rng.choice(vocabulary) for _ in range(rng.choice((15, 25, 38, 59)))] for k in range(80)}
+    docs = {}
+    for i in range(300):
+        own = list(items[i % 80])
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        if rng.random() < 0.1:
+            own = own[: len(own) // 2]
+        docs[i] = [rng.choice(vocabulary) for _ in range(rng.randint(0, 90))] + own + [rng.choice(vocabulary) for _ in range(rng.randint(0, 90))]
+    runs = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    want = {(i, k) for i, d in docs.items() for k, q in items.items() if len(runs(q) & runs(d)) >= 0.8 * len(runs(q))}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = {(r.doc_id, h.item_id): h for r in decontam.decontaminate(d, b).collect() for h in r.hits}
+    assert set(found) == want and any(h.overlap < 1 for h in found.values()) and len(want) < 300
+    parts = {(r.doc_id, h.item_id): h for r in decontam.decontaminate(d, b, items_per_pass=12).collect() for h in r.hits}
+    assert set(parts) == want and all(abs(parts[k].score - found[k].score) < 1e-9 and parts[k].start == found[k].start for k in want)
+    assert decontam.keep_clean(d, b, items_per_pass=12).count() == 300 - len({i for i, _ in want})
+
+
+def test_question_and_answer_must_both_be_held(spark):
+    q, a = "what is the longest river of the northern hills and its name", "it is the quiet brook that runs past the old mill"
+    b = spark.createDataFrame([(1, q, a)], "item_id long, q string, a string")
+    d = spark.createDataFrame([(1, f"{q} {a}"), (2, q), (3, f"{q} and {a}")], "doc_id long, text string")
+    assert {r.doc_id for r in decontam.decontaminate(d, b, theta=0.4, question_col="q", answer_col="a").collect() if r.contaminated} == {1, 3}
+
+
 def test_leaks_in_awkward_rows(spark, awkward):
     items = spark.createDataFrame([(1, "the cat sat on the mat and looked at the moon"), (2, None), (None, "x"), (3, "")], "item_id long, text string")
     hit = {r.doc_id for r in decontam.decontaminate(awkward, items).collect() if r.contaminated}
@@ -231,6 +264,47 @@ def test_leaks_in_awkward_rows(spark, awkward):
     assert decontam.keep_clean(awkward, items).count() == len(TEXTS) - 3
 
 
+def test_ids_with_several_texts(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(40)) for _ in range(3))
+    rows = [(5, a), (5, b), (7, b + " end"), (3, b), (5, b), (9, c), (9, c), (None, a), (None, b)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert collections.Counter((r.doc_id, r.component_id, r.kept) for r in found) == {(5, 5, True): 1, (5, 3, False): 2, (7, 3, False): 1, (3, 3, True): 1, (9, 9, True): 2, (None, 5, False): 1, (None, 3, False): 1}
+
+
+def test_guests_and_hosts_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    base, texts = [rng.choice(vocabulary) for _ in range(60)], {}
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(60)] = rng.choice(vocabulary)
+        texts[i] = " ".join(own)
+    found = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(texts, 3, 85)
+
+
+def awkward_documents(spark):
+    rows = [(i, t, "en", "web", len(t or ""), 1, "x", 2, 3) for i, t in TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row int, text_hash string, own_id int, kept int")
+
+
+def test_stages_on_awkward_tables(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = awkward_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.where("false"), docs.where("text is null"), docs.where("doc_id is null")):
+            out = stage(spark, table, folder)
+            assert out.count() <= table.count() and (name == "encode" or out.columns == docs.columns), name
+    dedup = dict(corpus_pipeline.STAGES)["near_dedup"]
+    left = collections.Counter((r.doc_id, (r.text or "")[:3]) for r in dedup(spark, docs, folder).collect())
+    assert left == {(1, "The"): 1, (2, ""): 1, (3, ""): 1, (None, "los"): 1, (5, "x"): 1, (6, "1 2"): 1, (7, "Ünï"): 1, (8, "lon"): 1}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
