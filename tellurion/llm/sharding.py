@@ -133,6 +133,8 @@ def shard(rows: DataFrame, shards: int = 40, seed: int = 42, sub_rows: int = 20_
     counts = sorted((r["b"], r["count"]) for r in source.groupBy("b").count().collect())
     matrix = communication_matrix([n for _, n in counts], shards, seed)
     ends = spark.createDataFrame([(b, own) for (b, _), own in zip(counts, np.cumsum(matrix, axis=1).tolist())], "b int, ends array<long>")
+    # One short row per partition: up to a million numbers are broadcast, more are joined by a shuffle.
+    ends = F.broadcast(ends) if matrix.size <= 1_000_000 else ends
     moved = source.join(ends, "b").withColumn("shard", F.expr("size(filter(ends, e -> e <= k))").cast("int")).drop("ends")
     most = int(matrix.sum(axis=0).max(initial=0))
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "b", "k"), 2)
