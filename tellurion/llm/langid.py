@@ -8,6 +8,8 @@ document's language is the one that most of its letters are labelled with.
 from __future__ import annotations
 
 import hashlib
+import re
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +27,9 @@ BUCKETS, ORDERS, PENALTY, MEMO_WORDS = 1 << 16, 4, 6.0, 300_000
 WORDS, MEMO_LETTERS = 16_384, 6_000_000
 #: A letter with the letters and marks that follow it; joiners inside words belong to them too.
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}\u200c\u200d]*")
+#: The same for texts below the first combining mark.
+_MARKED = re.compile("[\u0300-\U0010ffff]")
+_LOW_WORD = re.compile("[" + "".join(chr(c) for c in range(0x300) if unicodedata.category(chr(c))[0] == "L") + "]+")
 #: First code points of script ranges and the script's number from there on (0: common or Latin extensions' gaps).
 _SCRIPTS = [(0x0, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xA00, 9), (0xA80, 10), (0xB00, 11), (0xB80, 12), (0xC00, 13), (0xC80, 14), (0xD00, 15), (0xE00, 16), (0xE80, 17), (0x1000, 18), (0x10A0, 19), (0x1100, 20), (0x1200, 21), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 22), (0x30A0, 23), (0x3100, 0), (0x3400, 24), (0xA000, 0), (0xAC00, 20), (0xD7B0, 0), (0xF900, 24), (0xFB00, 0)]
 _AT, _NUMBER = np.array([a for a, _ in _SCRIPTS]), np.array([n for _, n in _SCRIPTS])
@@ -59,7 +64,9 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def words_of(text: str | None) -> list[str]:
     """Words: runs of letters with their combining marks; empty if the text has no letter."""
-    return _WORD.findall(text) if text else []
+    if not text:
+        return []
+    return (_WORD if _MARKED.search(text) else _LOW_WORD).findall(text)
 
 
 @dataclass
@@ -72,6 +79,7 @@ class Model:
     index: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
     letters: np.ndarray | None = None
+    learned: np.ndarray | None = None  # whether a word's script is one of a language
     held_letters: int = 0
 
     def _learn(self, words: list[str]) -> None:
@@ -85,11 +93,12 @@ class Model:
         at = len(self.index)
         if self.scores is None or at + len(words) > len(self.scores):
             grown = np.zeros((max(4096, 2 * (at + len(words))), n), np.float32)
-            sized = np.zeros(len(grown), np.int32)
+            sized, learned = np.zeros(len(grown), np.int32), np.zeros(len(grown), bool)
             if at:
-                grown[:at], sized[:at] = self.scores[:at], self.letters[:at]
-            self.scores, self.letters = grown, sized
-        self.scores[at : at + len(words)], self.letters[at : at + len(words)] = score, letters
+                grown[:at], sized[:at], learned[:at] = self.scores[:at], self.letters[:at], self.learned[:at]
+            self.scores, self.letters, self.learned = grown, sized, learned
+        new = slice(at, at + len(words))
+        self.scores[new], self.letters[new], self.learned[new] = score, letters, allowed.any(1)
         self.index.update(zip(words, range(at, at + len(words))))
         self.held_letters += int(letters.sum())
 
@@ -125,15 +134,6 @@ class Model:
             out[d] = path
         return out
 
-    def learned_share(self, text: str) -> float:
-        """The share of a text's words, by letters, whose script a learned language uses."""
-        words = words_of(text)
-        if not words or not self.langs:
-            return 0.0
-        codes = np.array([ord(w[0].lower()[0]) for w in words])
-        known = self.scripts.any(0)[_NUMBER[np.searchsorted(_AT, codes, "right") - 1]]
-        return float(np.bincount(known, [len(w) for w in words], 2)[1] / sum(map(len, words)))
-
     def _viterbi(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """Best paths; documents advance together, longest first."""
         if not docs:
@@ -170,18 +170,19 @@ class Model:
             paths[d] = label[firsts[k] : firsts[k] + counts[d]]
         return paths
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
-        """(language, share of the letters labelled with it, spans as (language, first word, end)); ('und', 0, []) without letters."""
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]], float]]:
+        """(language, share of the letters labelled with it, spans as (language, first word, end), share of the letters in scripts of
+        learned languages); ('und', 0, [], 0) without letters."""
         docs = [words_of(t) for t in texts]
         out = []
         for words, path, ids in zip(docs, self.label(docs), self.ids) if self.langs else zip(docs, docs, docs):
             if not words or not self.langs:
-                out.append(("und", 0.0, []))
+                out.append(("und", 0.0, [], 0.0))
                 continue
-            share = np.bincount(path, self.letters[ids], len(self.langs))
+            share, known = np.bincount(path, self.letters[ids], len(self.langs)), self.letters[ids][self.learned[ids]].sum()
             best = int(share.argmax())
             cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-            out.append((self.langs[best], float(share[best] / share.sum()), [(self.langs[int(path[a])], a, b) for a, b in zip(cuts, cuts[1:])]))
+            out.append((self.langs[best], float(share[best] / share.sum()), [(self.langs[int(path[a])], a, b) for a, b in zip(cuts, cuts[1:])], float(known / share.sum())))
         return out
 
 
@@ -254,12 +255,11 @@ def _own(model: Model) -> Model:
     return held(("langid", model.key, *model.langs), lambda: model)
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.65, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.55, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, of whose letters one language has the share `least` or more; letters of words in a script
     that no learned language uses count for none. No shuffle."""
 
     def keep(own: list[str]) -> list[bool]:
-        mine = _own(model)
-        return [lang != "und" and score * mine.learned_share(text) >= least for text, (lang, score, _) in zip(own, mine.predict(own))]
+        return [lang != "und" and score * known >= least for lang, score, _, known in _own(model).predict(own)]
 
     return filter_rows(docs, keep, text_col)
