@@ -29,8 +29,9 @@ from tellurion.llm.neardup import BROADCAST_IDS, near_duplicates
 from tellurion.llm.quality import keep_good
 from tellurion.llm.quality import train as train_quality
 
-#: Language and quality models of the pipeline learn from all labelled rows, within the bounds of the operators' samples.
-MIN_LANGUAGE_SHARE = 0.65
+#: Language and quality models of the pipeline learn from all labelled rows, within the bounds of the operators' samples. Texts that
+#: two languages share evenly go; one in one language with a foreign license line or two stays.
+MIN_LANGUAGE_SHARE = 0.55
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
