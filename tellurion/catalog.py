@@ -56,7 +56,7 @@ def _leaf(labels: str, step: int, where: str = "TRUE", source: str = "metrics",
     """Partials per bucket in SQL."""
     s, c, lo, hi = ("s", "c", "lo", "hi") if source == "metrics" else ("v", "1", "v", "v")
     group = f", {labels}" if labels else ""
-    return f"SELECT chq_timestamp - chq_timestamp % {step} + {shift} AS bucket_ts{group}, sum({s}) AS s, sum({c}) AS c, min({lo}) AS lo, max({hi}) AS hi FROM {source} WHERE {where} AND chq_timestamp >= {START - back - shift} AND chq_timestamp < {END - shift} GROUP BY ALL"
+    return f"SELECT chq_timestamp - chq_timestamp % {step} + {shift} AS bucket_ts{group}, sum({s}) AS s, sum({c}) AS c, count(*) AS n, min({lo}) AS lo, max({hi}) AS hi FROM {source} WHERE {where} AND chq_timestamp >= {START - back - shift} AND chq_timestamp < {END - shift} GROUP BY ALL"
 
 
 def _range(value: str, labels: str, step: int, rng: int, where: str = "TRUE", source: str = "metrics", having: str = "") -> str:
@@ -148,9 +148,9 @@ def _binding() -> dict[str, tuple[Query, str | None]]:
         "vector_avg_without": (_pq("avg without (resource_k8s_pod_name) (event_value)", DAY), f"{m}x AS (SELECT 1) " + _instant(f"event_type, {svc}", "s / c")),
         "vector_min": (_pq("min by (event_type) (event_value)", DAY), f"{m}x AS (SELECT 1) " + _instant("event_type", "lo")),
         "vector_max": (_pq("max by (event_type) (event_value)", DAY), f"{m}x AS (SELECT 1) " + _instant("event_type", "hi")),
-        "vector_count": (_pq("count by (event_type) (event_value)", DAY), f"{m}x AS (SELECT 1) " + _instant("event_type", "c")),
+        "vector_count": (_pq("count by (event_type) (event_value)", DAY), f"{m}{_dense_sql()}"),
         "nested_aggregate": (_pq("max(sum by (event_type) (event_value))", DAY), f"{m}l AS ({_leaf('event_type', DAY)}) SELECT bucket_ts, round(max(s), 6) AS value FROM l GROUP BY ALL"),
-        "bucket_count_dense": (_dense_counts, f"{m}l AS ({_leaf('event_type', DAY)}), g AS (SELECT t AS bucket_ts, event_type FROM range({START}, {END}, {DAY}) r(t), (SELECT DISTINCT event_type FROM l)) SELECT g.bucket_ts, g.event_type, CAST(coalesce(c, 0) AS DOUBLE) AS value FROM g LEFT JOIN l USING (bucket_ts, event_type)"),
+        "bucket_count_dense": (_pq("count(event_value)", HOUR, START, START + 3 * DAY), f"{m}l AS ({_leaf('', HOUR)}) SELECT t AS bucket_ts, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM range({START}, {START + 3 * DAY}, {HOUR}) r(t) LEFT JOIN l ON t = bucket_ts"),
         "topk_per_step": (_pq("topk(2, sum by (event_type) (event_value))", DAY), f"{m}l AS ({_leaf('event_type', DAY)}) SELECT bucket_ts, event_type, round(s, 6) AS value FROM l QUALIFY row_number() OVER (PARTITION BY bucket_ts ORDER BY s DESC, event_type) <= 2"),
         "bottomk_per_step": (_pq("bottomk(2, sum by (event_type) (event_value))", DAY), f"{m}l AS ({_leaf('event_type', DAY)}) SELECT bucket_ts, event_type, round(s, 6) AS value FROM l QUALIFY row_number() OVER (PARTITION BY bucket_ts ORDER BY s, event_type) <= 2"),
         # metrics: ranges
@@ -240,14 +240,8 @@ def _binding() -> dict[str, tuple[Query, str | None]]:
     return q
 
 
-def _dense_counts(spark: SparkSession, d: str) -> DataFrame:
-    from .operators import vectors
-    from .plans.planner import Planner
-    from .plans.syntax import parse_promql
-
-    planner = Planner(views.metrics(spark, d), START, END, DAY)
-    leaf = planner.plan(parse_promql("event_value"), ("event_type",))
-    return vectors.dense(leaf, START, END, DAY).df.select("bucket_ts", "event_type", F.col("v_count").alias("value"))
+def _dense_sql() -> str:
+    return f"l AS ({_leaf('event_type', DAY)}), g AS (SELECT t AS bucket_ts, event_type FROM range({START}, {END}, {DAY}) r(t), (SELECT DISTINCT event_type FROM l)) SELECT g.bucket_ts, g.event_type, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM g LEFT JOIN l USING (bucket_ts, event_type)"
 
 
 def _templates(spark: SparkSession, d: str) -> DataFrame:

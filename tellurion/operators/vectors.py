@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.syntax import QueryError
 
-PARTIAL = ("v_sum", "v_count", "v_min", "v_max")
+PARTIAL = ("v_sum", "v_count", "v_min", "v_max", "v_rows")
 
 
 @dataclass
@@ -38,9 +38,10 @@ def bucket(ts: str | Column, step: int) -> Column:
 
 
 def step_partials(df: DataFrame, step: int, labels: list[str], sum_col: Column, count_col: Column, min_col: Column, max_col: Column, ts: str = "chq_timestamp") -> Vector:
-    """Sum, count, minimum and maximum per step bucket and labels (one partial and one final aggregation)."""
+    """Sum, count, minimum, maximum and rows per step bucket and labels (one partial and one final aggregation)."""
     out = df.groupBy(bucket(ts, step).alias("bucket_ts"), *[F.col(f"`{c}`") for c in labels]).agg(
-        F.sum(sum_col).cast("double").alias("v_sum"), F.sum(F.coalesce(count_col, F.lit(0))).cast("double").alias("v_count"), F.min(min_col).cast("double").alias("v_min"), F.max(max_col).cast("double").alias("v_max")
+        F.sum(sum_col).cast("double").alias("v_sum"), F.sum(F.coalesce(count_col, F.lit(0))).cast("double").alias("v_count"), F.min(min_col).cast("double").alias("v_min"), F.max(max_col).cast("double").alias("v_max"),
+        F.count(count_col).cast("double").alias("v_rows"),
     )
     return Vector(out, labels, raw=True)
 
@@ -62,30 +63,78 @@ def dense(vector: Vector, start: int, end: int, step: int) -> Vector:
     return Vector(joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in PARTIAL}), vector.labels, raw=True)
 
 
-def range_function(leaf: Vector, func: str, range_ms: int, step: int, quantile: float | None = None) -> Vector:
-    """rate, increase, *_over_time over a sliding range of step buckets.
+def covered(leaf: Vector, range_ms: int, step: int, more: dict[str, Column] | None = None) -> tuple[DataFrame, Window]:
+    """The leaf's rows with `eff`, the span of their bucket, and `floor`, the first time in their window.
 
     A bucket spans at least `step`, or the gap since the series' previous bucket. A window drops the buckets that fall out of
-    the range by any span seen so far, and gives a value only once it covers the range. The frame of `range_ms` before a
-    row bounds what is gathered; dense series need range/step entries.
+    the range by any span seen so far. `more` are columns over the series' order.
     """
     order = Window.partitionBy(*leaf.labels).orderBy("bucket_ts")
     df = leaf.df.withColumn("eff", F.greatest(F.lit(step), F.coalesce(F.col("bucket_ts") - F.lag("bucket_ts").over(order), F.lit(step))))
     floor = F.max(F.least(F.col("bucket_ts") + F.col("eff") - range_ms, F.col("bucket_ts") + 1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    entry = F.struct("bucket_ts", *PARTIAL)
-    df = df.withColumn("floor", floor).withColumn("w", F.collect_list(entry).over(order.rangeBetween(-range_ms, 0)))
-    df = df.withColumn("w", F.expr("filter(w, x -> x.bucket_ts >= floor)")).where("size(w) > 0")
-    df = df.where(F.col("bucket_ts") - F.expr("array_min(transform(w, x -> x.bucket_ts))") + F.col("eff") >= range_ms)
-    total = lambda c: F.expr(f"aggregate(w, 0D, (s, x) -> s + coalesce(x.{c}, 0D))")
-    latest = F.expr("element_at(w, -1)")
+    return df.withColumns({"floor": floor, **(more or {})}), order
+
+
+def windows(leaf: Vector, range_ms: int, step: int) -> DataFrame:
+    """(bucket_ts, labels, floor) of the steps that have a value: those whose window covers the range."""
+    return _found(leaf, range_ms, step, {}, {}).select("bucket_ts", *leaf.labels, "floor")
+
+
+def _found(leaf: Vector, range_ms: int, step: int, kept: dict[str, Column], running: dict[str, Column]) -> DataFrame:
+    """Rows whose window covers the range, each with `before`, what the series' last row before the window holds.
+
+    Each row is looked up at its floor among the rows themselves: rows and lookups are sorted together and the last row is
+    carried on, so a window costs the same whatever its length, and no list of its entries is made. `running` are columns over
+    the series' order that `before` has too, `kept` other columns of the leaf that the caller needs.
+    """
+    order = Window.partitionBy(*leaf.labels).orderBy("bucket_ts")
+    df, _ = covered(leaf, range_ms, step, {"start": F.first("bucket_ts").over(order.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("bucket_ts").over(order), **running})
+    own = F.struct("bucket_ts", "eff", "floor", "start", *kept, *running)
+    held = F.struct("next", *running)
+    events = F.array(F.struct(F.col("bucket_ts").alias("t"), F.lit(1).alias("kind"), held.alias("held"), F.lit(None).alias("own")), F.struct(F.col("floor").alias("t"), F.lit(0).alias("kind"), F.lit(None).alias("held"), own.alias("own")))
+    both = df.select(*leaf.labels, F.explode(events).alias("e")).select(*leaf.labels, "e.*")
+    at = Window.partitionBy(*leaf.labels).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("before", F.last("held", True).over(at)).where("kind = 0").select(*leaf.labels, "own.*", "before")
+    first = F.coalesce(F.col("before.next"), F.col("start"))
+    return out.where((F.col("floor") <= F.col("bucket_ts")) & (F.col("bucket_ts") - first + F.col("eff") >= range_ms))
+
+
+def _extreme(leaf: Vector, range_ms: int, step: int, column: str, pick) -> Vector:
+    """Minimum or maximum of windows from extremes of runs of 1, 2, 4 ... rows: two runs that overlap make up a window."""
+    order = Window.partitionBy(*leaf.labels).orderBy("bucket_ts")
+    levels = (range_ms // step + 1).bit_length()
+    df = leaf.df.withColumns({"b0": F.col(column), "f0": F.col(column)})
+    for k in range(1, levels):
+        far = 1 << (k - 1)
+        df = df.withColumns({f"b{k}": pick(F.col(f"b{k - 1}"), F.lag(f"b{k - 1}", far).over(order)), f"f{k}": pick(F.col(f"f{k - 1}"), F.lead(f"f{k - 1}", far).over(order))})
+    running = {"n": F.row_number().over(order), "ahead": F.lead(F.array(*[f"f{k}" for k in range(levels)])).over(order), "start_ahead": F.first(F.array(*[f"f{k}" for k in range(levels)])).over(order.rowsBetween(Window.unboundedPreceding, 0))}
+    back = Vector(df.withColumn("back", F.array(*[f"b{k}" for k in range(levels)])).drop(*[f"{x}{k}" for x in "b" for k in range(levels)]), leaf.labels)
+    out = _found(back, range_ms, step, {"back": F.col("back")}, running)
+    size = F.col("n") - F.coalesce(F.col("before.n"), F.lit(0))
+    level = F.floor(F.log2(size.cast("double") + 0.5)).cast("int")
+    ahead = F.coalesce(F.col("before.ahead"), F.col("start_ahead"))
+    return Vector(out, leaf.labels).mapped(pick(F.get("back", level), F.get(ahead, level)))
+
+
+def range_function(leaf: Vector, func: str, range_ms: int, step: int, quantile: float | None = None) -> Vector:
+    """rate, increase, *_over_time over a sliding range of step buckets, as running sums that are subtracted. A value that is no
+    number makes every window that holds it none."""
+    if func in ("min_over_time", "max_over_time"):
+        return _extreme(leaf, range_ms, step, "v_min" if func == "min_over_time" else "v_max", F.least if func == "min_over_time" else F.greatest)
+    order = Window.partitionBy(*leaf.labels).orderBy("bucket_ts").rowsBetween(Window.unboundedPreceding, 0)
+    plain = F.coalesce(F.col("v_sum"), F.lit(0.0))
+    odd = F.isnan(plain) | (F.abs(plain) == F.lit(float("inf")))
+    running = {"p_sum": F.sum(F.when(odd, 0.0).otherwise(plain)).over(order), "p_count": F.sum(F.coalesce("v_count", F.lit(0.0))).over(order), "p_odd": F.sum(odd.cast("long")).over(order)}
+    out = _found(leaf, range_ms, step, {"v_sum": F.col("v_sum"), "v_count": F.col("v_count")}, running)
+    since = lambda c: F.col(c) - F.coalesce(F.col(f"before.{c}"), F.lit(0))
+    total = F.when(since("p_odd") > 0, F.lit(float("nan"))).otherwise(since("p_sum"))
     values = {
-        "rate": lambda: total("v_sum") / (range_ms / 1000), "increase": lambda: total("v_sum"), "sum_over_time": lambda: total("v_sum"), "count_over_time": lambda: total("v_count"),
-        "avg_over_time": lambda: F.try_divide(total("v_sum"), total("v_count")), "min_over_time": lambda: F.expr("array_min(transform(w, x -> x.v_min))"), "max_over_time": lambda: F.expr("array_max(transform(w, x -> x.v_max))"),
-        "last_over_time": lambda: F.try_divide(latest["v_sum"], latest["v_count"]), "irate": lambda: latest["v_sum"] / (F.col("eff") / 1000),
+        "rate": lambda: total / (range_ms / 1000), "increase": lambda: total, "sum_over_time": lambda: total, "count_over_time": lambda: since("p_count"),
+        "avg_over_time": lambda: F.try_divide(total, since("p_count")), "last_over_time": lambda: F.try_divide("v_sum", "v_count"), "irate": lambda: F.col("v_sum") / (F.col("eff") / 1000),
     }
     if func not in values:
         raise QueryError(f"unsupported function {func}")
-    return Vector(df, leaf.labels).mapped(values[func]())
+    return Vector(out, leaf.labels).mapped(values[func]())
 
 
 def plain_rate(leaf: Vector, step: int) -> Vector:
@@ -96,11 +145,12 @@ def plain_rate(leaf: Vector, step: int) -> Vector:
 
 
 def aggregate(vector: Vector, op: str, by: list[str] | None, without: list[str] | None) -> Vector:
-    """sum, avg, min, max, count over label sets; a raw leaf's partials merge, values that are NaN are skipped."""
+    """sum, avg, min, max, count over label sets; a raw leaf's partials merge (count counts its stored rows), values that are NaN
+    are skipped."""
     labels = [c for c in vector.labels if c not in without] if without is not None else [c for c in (by or []) if c in vector.labels]
     keys = ["bucket_ts", *[F.col(f"`{c}`") for c in labels]]
     if vector.raw:
-        value = {"sum": F.sum("v_sum"), "avg": F.try_divide(F.sum("v_sum"), F.sum("v_count")), "min": F.min("v_min"), "max": F.max("v_max"), "count": F.sum("v_count")}[op]
+        value = {"sum": F.sum("v_sum"), "avg": F.try_divide(F.sum("v_sum"), F.sum("v_count")), "min": F.min("v_min"), "max": F.max("v_max"), "count": F.sum("v_rows")}[op]
         out = vector.df.groupBy(*keys).agg(value.alias("value"))
     else:
         value = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}[op]("value")

@@ -214,15 +214,17 @@ def json_path(key: str) -> str:
 
 def apply_selector(df: DataFrame, selector: Selector, extra: tuple[str, ...] = (), body: str = "log_message", lines: bool = True) -> DataFrame:
     """Matchers and stages of a selector over a table of log lines or spans; `extra` are labels that the caller needs."""
-    parsed = {n for s in selector.stages for n in made(s)} | {n for s in selector.stages if s.kind in ("json", "logfmt") for n in ()}
+    waiting = []
     for m in selector.matchers:
         if m.label in df.columns:
             df = df.where(matches(F.col(f"`{m.label}`"), m.op, m.value, anchored=False))
-        elif m.label not in parsed:
-            df = df.where(F.lit(m.op in ("!=", "!~") and False))
+        elif any(m.label in made(s) or s.kind in ("json", "logfmt") for s in selector.stages):
+            waiting.append(m)  # a label that a stage makes is tested right after it
+        else:
+            return df.where(F.lit(False))
     original = set(df.columns)
     for k, stage in enumerate(selector.stages):
-        later = [n for s in selector.stages[k:] for n in needed(s)] + list(extra)
+        later = [n for s in selector.stages[k:] for n in needed(s)] + list(extra) + [m.label for m in waiting]
         if stage.kind == "line":
             if lines:
                 for op, value in stage.params:
@@ -262,7 +264,10 @@ def apply_selector(df: DataFrame, selector: Selector, extra: tuple[str, ...] = (
         elif stage.kind == "keep":
             core = [c for c in df.columns if c.startswith("chq_") or c in (body, "log_level", UNWRAPPED)]
             df = df.select(*dict.fromkeys([*core, *[c for c in stage.params if c in df.columns]]))
-    return df
+        for m in [m for m in waiting if m.label in df.columns]:
+            df = df.where(matches(F.col(f"`{m.label}`").cast("string"), m.op, m.value, anchored=False))
+            waiting.remove(m)
+    return df.where(F.lit(False)) if waiting else df
 
 
 def _resolver(df: DataFrame):

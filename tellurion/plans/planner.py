@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sketch
@@ -14,6 +15,8 @@ from ..sources.views import label_columns
 from .pipeline import UNWRAPPED, apply_selector, matcher_column
 from .syntax import Aggregate, Binary, Call, Number, QueryError, Selector
 
+#: The column of line counts in tables that a store keeps beside the lines.
+COUNTS = "chq_lines"
 RANGE_FUNCTIONS = ("rate", "irate", "increase", "sum_over_time", "avg_over_time", "count_over_time", "min_over_time", "max_over_time", "last_over_time")
 LOG_FUNCTIONS = {"count_over_time": "sum_over_time", "rate": "rate", "bytes_over_time": "sum_over_time", "bytes_rate": "rate", "rate_counter": "rate", "sum_over_time": "sum_over_time", "avg_over_time": "avg_over_time", "min_over_time": "min_over_time", "max_over_time": "max_over_time", "last_over_time": "last_over_time"}
 UNWRAP_FUNCTIONS = ("rate_counter", "sum_over_time", "avg_over_time", "min_over_time", "max_over_time", "last_over_time")
@@ -32,7 +35,7 @@ def auto_step(start: int, end: int) -> int:
 class Planner:
     """Plans one query over [start, end) in ms. Equal leaves share one DataFrame."""
 
-    table: DataFrame
+    table: DataFrame | Callable[..., DataFrame]
     start: int
     end: int
     step: int
@@ -41,19 +44,23 @@ class Planner:
     body: str = "log_message"
     _leaves: dict = field(default_factory=dict)
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.table.sparkSession if isinstance(self.table, DataFrame) else SparkSession.active()
+
     def vector(self, node) -> Vector:
         out = self.plan(node, None)
         if isinstance(out, float):
-            steps = self.table.sparkSession.range(self.start - self.start % self.step, self.end, self.step)
+            steps = self.spark.range(self.start - self.start % self.step, self.end, self.step)
             return Vector(steps.select(F.col("id").alias("bucket_ts"), F.lit(out).alias("value")), [])
         if isinstance(out, DataFrame):
             return Vector(out, [])
         return out.valued()
 
     def run(self, node) -> DataFrame:
-        """(bucket_ts, labels, value) of the steps in [start, end); NaN results are left out."""
+        """(bucket_ts, labels, value) of the steps in [start, end), in their order; NaN results are left out."""
         v = self.vector(node)
-        return v.df.where((F.col("bucket_ts") >= self.start - self.start % self.step) & (F.col("bucket_ts") < self.end) & ~F.isnan("value")).select("bucket_ts", *v.labels, "value")
+        return v.df.where((F.col("bucket_ts") >= self.start - self.start % self.step) & (F.col("bucket_ts") < self.end) & ~F.isnan("value")).select("bucket_ts", *v.labels, "value").orderBy("bucket_ts")
 
     def plan(self, node, by: tuple[str, ...] | None, without: tuple[str, ...] | None = None):
         """A Vector, a float, or a (bucket_ts, value) table of scalars. `by` are the labels that the expression above groups by."""
@@ -79,17 +86,25 @@ class Planner:
             return have if self.keep_series else []
         return [c for c in by if c in df.columns]
 
+    def _scan(self, s: Selector, by=(), counts: bool = False) -> DataFrame:
+        """Rows of the time that a selector needs: of the table, or of what a store picks for the selector and step."""
+        lo, hi = self.start - s.offset_ms - s.range_ms, self.end - s.offset_ms
+        table = self.table if isinstance(self.table, DataFrame) else self.table(s, lo, hi, self.step, by, counts)
+        return table.where((F.col("chq_timestamp") >= lo) & (F.col("chq_timestamp") < hi))
+
+    def _metrics(self, s: Selector) -> DataFrame:
+        """Stored rows of a metric that pass the matchers; a matcher on a label that no row has leaves none."""
+        df = self._scan(s)
+        if s.metric is not None:
+            df = df.where(F.col("metric_name") == s.metric)
+        for m in s.matchers:
+            df = df.where(matcher_column(m) if m.label in df.columns else F.lit(False))
+        return df
+
     def _metric_leaf(self, s: Selector, by, without) -> Vector:
         key = (s, by, without)
         if key not in self._leaves:
-            df = self.table.where((F.col("chq_timestamp") >= self.start - s.offset_ms - s.range_ms) & (F.col("chq_timestamp") < self.end - s.offset_ms))
-            if s.metric is not None:
-                df = df.where(F.col("metric_name") == s.metric)
-            for m in s.matchers:
-                if m.label in df.columns:
-                    df = df.where(matcher_column(m))
-                else:
-                    df = df.where(F.lit(False))
+            df = self._metrics(s)
             leaf = V.step_partials(df, self.step, self._labels(df, by, without), F.col("chq_rollup_sum"), F.col("chq_rollup_count"), F.col("chq_rollup_min"), F.col("chq_rollup_max"))
             self._leaves[key] = self._shifted(leaf, s)
         return self._leaves[key]
@@ -100,8 +115,11 @@ class Planner:
     def _log_leaf(self, func: str, s: Selector, by, without) -> Vector:
         key = (func in UNWRAP_FUNCTIONS, func.startswith("bytes"), s, by, without)
         if key not in self._leaves:
-            df = self.table.where((F.col("chq_timestamp") >= self.start - s.offset_ms - s.range_ms) & (F.col("chq_timestamp") < self.end - s.offset_ms))
-            df = apply_selector(df, s, tuple(by or ()), self.body)
+            counted = func in ("count_over_time", "rate") and not s.stages and without is None and not self.keep_series and not isinstance(self.table, DataFrame)
+            df = apply_selector(self._scan(s, tuple(by or ()), counted), s, tuple(by or ()), self.body)
+            if counted and COUNTS in df.columns:
+                self._leaves[key] = self._shifted(V.step_partials(df, self.step, self._labels(df.drop(COUNTS), by, without), F.col(COUNTS), F.col(COUNTS), F.col(COUNTS), F.col(COUNTS)), s)
+                return self._leaves[key]
             if func in UNWRAP_FUNCTIONS:
                 if UNWRAPPED not in df.columns:
                     raise QueryError(f"{func} needs unwrap")
@@ -120,6 +138,8 @@ class Planner:
         if inner_by is None and inner_without is None:
             inner_by = ()
         inner = self._need_vector(self.plan(node.expr, inner_by, inner_without))
+        if node.op == "count" and inner.raw:
+            inner = V.dense(inner, self.start, self.end, self.step)
         return V.aggregate(inner, node.op, list(node.by) if node.by is not None else None, list(node.without) if node.without is not None else None)
 
     def _need_vector(self, value) -> Vector:
@@ -164,33 +184,43 @@ class Planner:
         return V.range_function(leaf, func, arg.range_ms, self.step)
 
     def _quantile(self, func: str, q: float, arg, by, without) -> Vector:
-        """Quantiles of the samples' sketches per step (histogram_quantile), or per step over the range before it."""
-        inner = arg
-        labels_by = by
+        """Quantiles of the samples' sketches per step (histogram_quantile), or over the range before it where the selector has
+        one. Aggregations merge sketches; rate, increase and sum_over_time of sketches are their sums, whose quantiles are the
+        same; anything else around the selector is refused."""
+        inner, labels_by = arg, by
         while isinstance(inner, (Aggregate, Call)):
-            if isinstance(inner, Aggregate) and inner.by is not None:
-                labels_by = inner.by
-            inner = inner.expr if isinstance(inner, Aggregate) else inner.args[0]
+            if isinstance(inner, Aggregate) and inner.op == "sum":
+                labels_by, without = inner.by if inner.by is not None else (() if inner.without is None else None), inner.without
+                inner = inner.expr
+            elif isinstance(inner, Call) and func == "histogram_quantile" and inner.func in ("rate", "increase", "sum_over_time") and len(inner.args) == 1:
+                inner = inner.args[0]
+            else:
+                raise QueryError(f"{func} cannot be taken of {inner.op if isinstance(inner, Aggregate) else inner.func}")
         if not isinstance(inner, Selector):
             raise QueryError(f"{func} takes a selector")
         s = inner
-        df = self.table.where((F.col("chq_timestamp") >= self.start - s.offset_ms - s.range_ms) & (F.col("chq_timestamp") < self.end - s.offset_ms))
         if self.logs:
-            df = apply_selector(df, s, tuple(labels_by or ()), self.body).withColumn("value", F.col(UNWRAPPED))
+            df = apply_selector(self._scan(s), s, tuple(labels_by or ()), self.body)
+            if UNWRAPPED not in df.columns:
+                raise QueryError(f"{func} needs unwrap")
+            df = df.withColumn("value", F.col(UNWRAPPED))
         else:
-            if s.metric is not None:
-                df = df.where(F.col("metric_name") == s.metric)
-            for m in s.matchers:
-                df = df.where(matcher_column(m))
+            df = self._metrics(s)
             if "value" not in df.columns:
                 raise QueryError(f"{func} needs sketches or raw samples")
-        labels = self._labels(df, labels_by, without)
+        df = df.where("value is not null")
+        labels = self._labels(df.drop("value", UNWRAPPED), labels_by, without)
         keys = ["bucket_ts", *labels]
         binned = sketch.bins(df.withColumn("bucket_ts", V.bucket("chq_timestamp", self.step)), keys)
-        if func == "quantile_over_time" and s.range_ms > self.step:
-            # A bucket's bins count for each of the range's steps after it.
-            later = F.sequence(F.col("bucket_ts"), F.col("bucket_ts") + (s.range_ms - self.step), F.lit(self.step))
-            binned = sketch.merge(binned.withColumn("bucket_ts", F.explode(later)), keys)
+        if s.range_ms > self.step:
+            # A bucket's bins count for each of the range's steps after it that have a window, and whose window reaches back to it.
+            one = F.lit(1.0)
+            valid = V.windows(V.step_partials(df, self.step, labels, one, one, one, one), s.range_ms, self.step)
+            moved = binned.withColumnRenamed("bucket_ts", "of").withColumn("bucket_ts", F.explode(F.expr(f"sequence(of, of + {s.range_ms - self.step}, {self.step})")))
+            on = moved["bucket_ts"] == valid["bucket_ts"]
+            for c in labels:
+                on = on & moved[c].eqNullSafe(valid[c])
+            binned = sketch.merge(moved.join(valid, on & (moved["of"] >= valid["floor"])).select(moved["bucket_ts"], *[moved[c] for c in labels], "bin", "n"), keys)
         out = sketch.quantiles(binned, keys, {"value": q})
         return Vector(out.withColumn("bucket_ts", F.col("bucket_ts") + s.offset_ms), labels).mapped(F.col("value"))
 
