@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_storage
 from .functions import sketch
 from .functions.template import compile_template
 from .operators import metadata
@@ -87,7 +88,10 @@ def _count(labels: str, where: str, step: int = DAY, value: str = "count(*)", ex
 
 
 def _temporary(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/tellurion-{name}-{uuid.uuid4().hex}"
 
 
@@ -96,8 +100,7 @@ def _stream_rollup(spark: SparkSession, d: str) -> DataFrame:
     source = jobs.file_stream(spark, d, schema, "events.parquet")
     samples = source.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("chq_timestamp"), "event_type", "value")
     out = _temporary(spark, "stream")
-    jobs.run_once(jobs.windowed_rollup(samples, HOUR, ["event_type"]), f"{out}/data", f"{out}/checkpoint", "append")
-    done = spark.read.parquet(f"{out}/data")
+    done = jobs.run_to_end(jobs.windowed_rollup(samples, HOUR, ["event_type"]), f"{out}/data", f"{out}/checkpoint", ["chq_timestamp", "event_type"])
     return _round(done.select("chq_timestamp", "event_type", "chq_rollup_sum", "chq_rollup_count", "chq_rollup_min", "chq_rollup_max"))
 
 
@@ -233,11 +236,35 @@ def _binding() -> dict[str, tuple[Query, str | None]]:
         "trigram_set": (lambda s, d: views.logs(s, d).select("resource_k8s_pod_name").distinct().select("resource_k8s_pod_name", F.explode(metadata.trigrams(F.col("resource_k8s_pod_name"))).alias("trigram")), f"WITH {_LOGS} SELECT DISTINCT resource_k8s_pod_name, substr(resource_k8s_pod_name, i, 3) AS trigram FROM (SELECT DISTINCT resource_k8s_pod_name FROM logs), range(1, 40) r(i) WHERE i <= length(resource_k8s_pod_name) - 2"),
         "type_promotion": (_promoted, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN event_type END AS v, CASE WHEN event_id % 3 = 2 THEN event_type END AS w FROM events"),
         "log_translation": (lambda s, d: ingest.translate_logs(views.events(s, d).select(F.col("ts").alias("Timestamp"), F.col("event_type").alias("level"), F.col("props").alias("msg"), F.col("user_id").alias("User.Id"))).select("chq_timestamp", "log_message", "log_level", "resource_user_id"), f"SELECT {_T} AS chq_timestamp, props AS log_message, upper(event_type) AS log_level, CAST(user_id AS VARCHAR) AS resource_user_id FROM events"),
-        "stream_rollup": (_stream_rollup, f"WITH w AS (SELECT {_T} - {_T} % {HOUR} AS chq_timestamp, event_type, round(sum(value), 6) AS chq_rollup_sum, count(value) AS chq_rollup_count, round(min(value), 6) AS chq_rollup_min, round(max(value), 6) AS chq_rollup_max FROM events GROUP BY ALL) SELECT * FROM w WHERE chq_timestamp + {HOUR} <= (SELECT max({_T}) - 300000 FROM events)"),
-        "message_templates": (_message_templates, "SELECT concat('user <number> did ', event_type, ' k <number>') AS template, count(*) AS n FROM events GROUP BY ALL"),
+        "stream_rollup": (_stream_rollup, f"SELECT {_T} - {_T} % {HOUR} AS chq_timestamp, event_type, round(sum(value), 6) AS chq_rollup_sum, count(value) AS chq_rollup_count, round(min(value), 6) AS chq_rollup_min, round(max(value), 6) AS chq_rollup_max FROM events GROUP BY ALL"),
+        "message_templates": (_message_templates, "SELECT concat('user-<number> did ', event_type, ' k <number>') AS template, count(*) AS n FROM events GROUP BY ALL"),
         "span_fingerprints": (_span_groups, "SELECT count(DISTINCT (user_id % 5, user_id % 2, event_type)) AS n FROM events"),
     }
-    return q
+    return q | _faults() | catalog_storage.queries(_temporary)
+
+
+def _faults() -> dict[str, tuple[Query, str | None]]:
+    """Queries at the edges of matchers and quantiles."""
+    lg = f"WITH {_LOGS} "
+    rng, step = 3 * DAY, DAY
+    quantile = f"""WITH {_METRICS}, samples AS (SELECT {_T} AS chq_timestamp, event_type, value AS v FROM events), leaf AS ({_leaf('event_type', step, source='samples', back=rng)}),
+  e AS (SELECT *, greatest({step}, coalesce(bucket_ts - lag(bucket_ts) OVER (PARTITION BY event_type ORDER BY bucket_ts), {step})) AS eff FROM leaf),
+  w AS (SELECT *, max(least(bucket_ts + eff - {rng}, bucket_ts + 1)) OVER (PARTITION BY event_type ORDER BY bucket_ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+  r AS (SELECT a.bucket_ts, a.event_type, a.k FROM w a JOIN w b ON a.event_type = b.event_type AND b.bucket_ts BETWEEN a.k AND a.bucket_ts GROUP BY a.bucket_ts, a.event_type, a.k, a.eff HAVING a.bucket_ts - min(b.bucket_ts) + a.eff >= {rng}),
+  n AS (SELECT r.bucket_ts, r.event_type, {_bin_sql('v')} AS bin, count(*) AS n FROM r JOIN samples s ON r.event_type = s.event_type AND s.chq_timestamp - s.chq_timestamp % {step} BETWEEN r.k AND r.bucket_ts GROUP BY ALL),
+  c AS (SELECT *, sum(n) OVER (PARTITION BY bucket_ts, event_type ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY bucket_ts, event_type) AS total FROM n)
+  SELECT bucket_ts, event_type, round(min(CASE WHEN upto > 0.9 * (total - 1) THEN pow({sketch.GAMMA!r}, bin) * {2 / (sketch.GAMMA + 1)!r} END), 6) AS value FROM c WHERE bucket_ts >= {START} AND bucket_ts < {END} GROUP BY ALL"""
+    dropped = _lq('sum by (type) (count_over_time({log_level=~".+"} | logfmt | drop resource_k8s_pod_name | keep type, user | user="7" [1d]))')
+    return {
+        "parsed_label_matcher": (_raw('{resource_service_name="svc-1", kind=~"click|view"} | logfmt kind="type"', ["chq_id", "kind"]), f"{lg}SELECT chq_id, event_type AS kind FROM logs WHERE resource_service_name = 'svc-1' AND event_type IN ('click', 'view')"),
+        "quantile_over_range": (_sq("quantile_over_time(0.9, sum by (event_type) (event_value[3d]))", DAY), quantile),
+        "quantile_of_rate": (_sq("histogram_quantile(0.9, sum by (event_type) (rate(event_value[3d])))", DAY), quantile),
+        "quantile_absent_label": (_sq('histogram_quantile(0.5, sum by (event_type) (event_value{zone="x"}))', DAY), "SELECT 0::BIGINT AS bucket_ts, '' AS event_type, 0::DOUBLE AS value FROM events WHERE FALSE"),
+        "keep_and_drop": (dropped, f"WITH {_LOGS}, typed AS (SELECT *, event_type AS type FROM logs), " + _count("type", "regexp_extract(log_message, '(?:^|\\s)user=([^\\s]+)', 1) = '7'", source="typed")),
+        "tag_names_logs": (lambda s, d: Engine(logs=views.logs(s, d)).tag_names("logs", '{log_level="WARN"}'), "SELECT unnest(['chq_timestamp', 'chq_tsns', 'chq_id', 'log_level', 'resource_service_name', 'resource_k8s_pod_name', 'log_message']) AS tag_name"),
+        "tag_values_spans": (lambda s, d: Engine(spans=views.spans(s, d)).tag_values("span_name", "spans", '{span_kind="client"}'), "SELECT DISTINCT event_type AS tag_value FROM events WHERE user_id % 2 = 1"),
+        "exponentials": (_pq("exp(log10(sum by (event_type) (event_value))) + ln(sum by (event_type) (event_value))", DAY), f"WITH {_METRICS}, x AS (SELECT 1) " + _instant("event_type", "exp(log10(s)) + ln(s)")),
+    }
 
 
 def _dense_sql() -> str:
@@ -252,7 +279,7 @@ def _templates(spark: SparkSession, d: str) -> DataFrame:
 def _message_templates(spark: SparkSession, d: str) -> DataFrame:
     from .functions.identity import message_template
 
-    return views.logs(spark, d, "access").groupBy(F.regexp_replace(message_template(F.col("log_message")), "user-<number>", "user <number>").alias("template")).agg(F.count("*").alias("n"))
+    return views.logs(spark, d, "access").groupBy(message_template(F.col("log_message")).alias("template")).agg(F.count("*").alias("n"))
 
 
 def _span_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -10,16 +10,24 @@ def _part(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
 
 
-def span_fingerprint(df: DataFrame) -> Column:
-    """Hash of cluster, namespace, service and kind, with the destination of messaging, the system and statement kind of
-    database, or the method and route of HTTP spans."""
+def span_parts(df: DataFrame) -> Column:
+    """What a span is known by, joined by ##: cluster, namespace and service (unknown where empty) and kind; then the system,
+    operation and destination of messaging, the name, system, namespace, operation, server and collection of databases, the
+    method and URL template of HTTP, or else the name."""
     p = lambda name: _part(df, name)
-    base = [p("resource_k8s_cluster_name"), p("resource_k8s_namespace_name"), p("resource_service_name"), p("span_kind")]
-    messaging = F.concat_ws("##", *base, p("attr_messaging_system"), p("attr_messaging_operation_type"), p("attr_messaging_destination_name"))
-    database = F.concat_ws("##", *base, p("attr_db_system_name"), p("attr_db_namespace"), p("attr_db_operation_name"), p("attr_db_collection_name"))
-    web = F.concat_ws("##", *base, p("attr_http_request_method"), p("attr_http_route"), p("attr_url_template"))
-    other = F.concat_ws("##", *base, p("span_name"))
-    return F.xxhash64(F.when(p("attr_messaging_system") != "", messaging).when(p("attr_db_system_name") != "", database).when(p("attr_http_request_method") != "", web).otherwise(other))
+    known = lambda name: F.when(p(name) == "", "unknown").otherwise(p(name))
+    base = [known("resource_k8s_cluster_name"), known("resource_k8s_namespace_name"), known("resource_service_name"), p("span_kind")]
+    joined = lambda *names: F.concat_ws("##", *base, *map(p, names))
+    return (
+        F.when(p("attr_messaging_system") != "", joined("attr_messaging_system", "attr_messaging_operation_type", "attr_messaging_destination_name"))
+        .when(p("attr_db_system_name") != "", joined("span_name", "attr_db_system_name", "attr_db_namespace", "attr_db_operation_name", "attr_server_address", "attr_db_collection_name"))
+        .when(p("attr_http_request_method") != "", joined("attr_http_request_method", "attr_url_template"))
+        .otherwise(joined("span_name"))
+    )
+
+
+def span_fingerprint(df: DataFrame) -> Column:
+    return F.xxhash64(span_parts(df))
 
 
 _MASKS = (

@@ -36,3 +36,22 @@ def quantiles(binned: DataFrame, keys: list[str], wanted: dict[str, float]) -> D
     value = F.when(F.col("bin") == -(1 << 30), F.lit(0.0)).otherwise(bin_value(F.col("bin")))
     pick = [F.min(F.when(F.col("_upto") > F.lit(min(max(q, 0.0), 1.0)) * (F.col("_all") - 1), value)).alias(name) for name, q in wanted.items()]
     return run.groupBy(*keys).agg(*pick)
+
+
+#: log2 of the registers of cardinality sketches.
+REGISTERS = 14
+
+
+def cardinality(column: Column | str) -> Column:
+    """Aggregate: a mergeable sketch (bytes, fit for storing) of a column's distinct values."""
+    return F.hll_sketch_agg(column, F.lit(REGISTERS))
+
+
+def merged(sketches: Column | str) -> Column:
+    """Aggregate: the union of stored sketches."""
+    return F.hll_union_agg(sketches)
+
+
+def estimate(sketched: Column | str) -> Column:
+    """The number of distinct values that a sketch has seen, as a double."""
+    return F.hll_sketch_estimate(sketched).cast("double")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sketch
@@ -54,7 +55,7 @@ def series(df: DataFrame, field: str, groups: list[tuple[Matcher, ...]]) -> Data
 
 
 def metrics_metadata(df: DataFrame) -> DataFrame:
-    kind = F.first("chq_metric_type", True) if "chq_metric_type" in df.columns else F.lit("gauge")
+    kind = F.min_by("chq_metric_type", "chq_timestamp") if "chq_metric_type" in df.columns else F.lit("gauge")
     return df.groupBy("metric_name").agg(kind.alias("metric_type"), F.min("chq_timestamp").alias("first_ts"), F.max("chq_timestamp").alias("last_ts"))
 
 
@@ -106,6 +107,8 @@ def summary(df: DataFrame, node, start: int, end: int, step: int, keep_series: b
 
 # Catalog of files: a row per file with its time range and fingerprints, used to read only files that can match.
 
+#: Values of a label that a file's fingerprints hold at most.
+MOST_VALUES = 10_000
 INDEXED = ("metric_name", "log_level", "resource_service_name", "span_name", "span_kind", "resource_k8s_pod_name")
 
 
@@ -120,18 +123,21 @@ def fingerprints(label: str, column):
     return F.when(column.isNotNull(), F.concat(own, F.transform(trigrams(column), lambda t: F.xxhash64(F.concat(F.lit(f"{label}~"), t))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def file_catalog(df: DataFrame, labels: tuple[str, ...] = INDEXED, ts: str = "chq_timestamp") -> DataFrame:
-    """(path, lo, hi, rows, fingerprints) of a stored table's files. Values are made distinct per file before hashing."""
+def file_catalog(df: DataFrame, labels: tuple[str, ...] = INDEXED, ts: str = "chq_timestamp", most: int = MOST_VALUES) -> DataFrame:
+    """(path, lo, hi, rows, bytes, fingerprints) of a stored table's files, in one pass: values are made distinct per file and
+    label before they are hashed. A label with more than `most` values in a file is only marked as such, and never prunes it."""
     have = [c for c in labels if c in df.columns]
-    named = df.withColumn("path", F.input_file_name())
-    spanned = named.groupBy("path").agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.count("*").alias("rows"))
-    prints = None
+    named = [F.struct(F.lit(c).alias("label"), F.col(c).cast("string").alias("v")) for c in have] or [F.struct(F.lit("").alias("label"), F.lit(None).cast("string").alias("v"))]
+    rows = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), F.col(ts).alias("ts"), F.explode(F.array(*named)).alias("e"))
+    values = rows.groupBy("path", "e.label", "e.v").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("rows"), F.max("bytes").alias("bytes"))
+    held = values.groupBy("path", "label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows"), F.max("bytes").alias("bytes"), F.count("v").alias("n"), F.collect_set("v").alias("vs"))
+    prints = F.lit([]).cast("array<bigint>")
     for c in have:
-        one = named.select("path", F.col(c).cast("string").alias("v")).distinct().select("path", F.explode(fingerprints(c, F.col("v"))).alias("fp"))
-        prints = one if prints is None else prints.unionByName(one)
-    if prints is None:
-        return spanned.withColumn("fingerprints", F.array().cast("array<bigint>"))
-    return spanned.join(prints.groupBy("path").agg(F.collect_set("fp").alias("fingerprints")), "path", "left").withColumn("fingerprints", F.coalesce("fingerprints", F.array().cast("array<bigint>")))
+        many = F.array(F.xxhash64(F.lit(f"{c}=*")), F.xxhash64(F.lit(f"{c}=#")))
+        own = F.array_distinct(F.flatten(F.transform("vs", partial(fingerprints, c))))
+        prints = F.when(F.col("label") == c, F.when(F.col("n") > most, many).otherwise(own)).otherwise(prints)
+    out = held.withColumn("prints", prints).groupBy("path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rows").alias("rows"), F.max("bytes").alias("bytes"), F.array_distinct(F.flatten(F.collect_list("prints"))).alias("fingerprints"))
+    return out
 
 
 _BREAKS = "dDwWsSbBhHvVRXAZzGtnrfae"  # escapes of one letter that stand for no literal of their own
@@ -170,28 +176,41 @@ def regex_trigrams(pattern: str) -> list[str]:
     return [r[k : k + 3] for r in runs for k in range(len(r) - 2)]
 
 
-def prune(catalog: DataFrame, selector: Selector, start: int, end: int, labels: tuple[str, ...] = INDEXED) -> DataFrame:
-    """Catalog rows whose files may hold rows of the selector in [start, end): a superset is always safe."""
+def prune(catalog: DataFrame, selector: Selector | list[Selector], start: int, end: int, labels: tuple[str, ...] = INDEXED) -> DataFrame:
+    """Catalog rows whose files may hold rows of any of the selectors in [start, end): a superset is always safe."""
     out = catalog.where((F.col("lo") < end) & (F.col("hi") >= start))
-    for m in selector.matchers:
-        if m.label not in labels:
+    every = [selector] if isinstance(selector, Selector) else selector
+    test = F.lit(not every)
+    for s in every:
+        test = test | may_hold(s, labels)
+    return out.where(test)
+
+
+def may_hold(selector: Selector, labels: tuple[str, ...] = INDEXED) -> Column:
+    """Whether a file's fingerprints may have rows that pass a selector's metric and matchers, all of them. `!=` and `!~` need the
+    label to be there at all, as a null passes no matcher. Labels that stages make are not looked up."""
+    has = lambda text: F.array_contains("fingerprints", F.xxhash64(F.lit(text)))
+    made_later = {n for s in selector.stages for n in made(s)} | ({m.label for m in selector.matchers} if any(s.kind in ("json", "logfmt") for s in selector.stages) else set())
+    matchers = [*selector.matchers, *([Matcher("metric_name", "=", selector.metric)] if selector.metric else [])]
+    out = F.lit(True)
+    for m in matchers:
+        if m.label not in labels or m.label in made_later:
             continue
-        has = lambda text: F.array_contains("fingerprints", F.xxhash64(F.lit(text)))
         if m.op == "=":
-            out = out.where(has(f"{m.label}={{{m.value}"))
+            test = has(f"{m.label}={{{m.value}")
         elif m.op == "=~":
             words = re.fullmatch(r"\^?\(?(?:\?:)?([\w\-|]+)\)?\$?", m.value)
-            if words and "|" in m.value:
-                test = F.lit(False)
-                for w in words[1].split("|"):
-                    one = F.lit(True)
-                    for k in range(len(w) - 2):
-                        one = one & has(f"{m.label}~{w[k:k + 3]}")
-                    test = test | one
-                out = out.where(test)
-            else:
-                for t in regex_trigrams(m.value):
-                    out = out.where(has(f"{m.label}~{t}"))
+            options = words[1].split("|") if words and "|" in m.value else None
+            runs = [[w[k : k + 3] for k in range(len(w) - 2)] for w in options] if options else [regex_trigrams(m.value)]
+            test = F.lit(False)
+            for own in runs:
+                one = F.lit(True)
+                for t in own:
+                    one = one & has(f"{m.label}~{t}")
+                test = test | one
+        else:
+            test = has(f"{m.label}=*")
+        out = out & (test | has(f"{m.label}=#"))
     return out
 
 
