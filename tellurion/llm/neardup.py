@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Room, map_batches, pieces, texts
+from .common import Room, held, map_batches, pieces, texts
 
 COORDINATES, BLOCK, BROADCAST_IDS, MISS = 64, 512, 2_000_000, 1e-9
 #: Bytes that words are hashed of at once; a bound of memory only.
@@ -160,6 +160,7 @@ def _signed(docs: DataFrame, words: int, k: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.list_(pa.int32()))])
 
     def kernel(batch: pa.RecordBatch) -> dict:
+        held("neardup", dict)  # lets go of a model that an earlier operator left in this process
         sets = shingle_sets([t.encode() for t in texts(batch)], words)
         sig = signatures(sets, k).view(np.int32)
         return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": [len(s) for s in sets], "set_key": _set_keys(sets), "sig": pa.ListArray.from_arrays(np.arange(0, sig.size + 1, k, dtype=np.int32), pa.array(sig.ravel()))}
