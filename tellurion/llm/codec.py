@@ -10,19 +10,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import held, map_batches, texts
+from .common import gathered, held, map_batches, texts
 from .tokens import byte_chars
 
 #: Words whose ids are kept per process, and letters of the longest kept; bounds of memory only.
 MEMO_WORDS, MEMO_CHARS = 200_000, 40
-_ODD = regex.compile(r"\s \s?| \s|\s\s")
+_ODD = re.compile(r"\s \s?| \s|\s\s")
 
 
 def _varint(n: int) -> bytes:
@@ -74,46 +76,73 @@ class Codec:
 
     def _pieces(self, wanted: list[str]) -> None:
         """Encode pre-tokens into the memo."""
+        pack = struct.pack
         for k in range(0, len(wanted), 4096):
             group = wanted[k : k + 4096]
             mapped = [p.encode().decode("latin-1").translate(self.table) for p in group]
             for piece, ids in zip(group, self.model.encode(mapped, out_type=int, num_threads=1)):
                 whole = self.ranks.get(piece.encode())
                 self.long += len(piece) if len(piece) > MEMO_CHARS else 0
-                self.pieces[piece] = np.array(ids if whole is None else [whole], "<i4").tobytes()
+                self.pieces[piece] = pack(f"<{len(ids)}i", *ids) if whole is None else pack("<i", whole)
 
     def _parts(self, parts: list[str]) -> bytes:
         self._pieces([p for p in dict.fromkeys(parts) if p not in self.pieces])
         return b"".join([self.pieces[p] for p in parts])
 
-    def encode(self, text: str) -> np.ndarray:
-        """Token ids of a whole text."""
-        if len(self.pieces) > MEMO_WORDS or self.long > MEMO_CHARS * 25_000:
-            self.pieces.clear()
-            self.long = 0
-        if _ODD.search(text):
-            return np.frombuffer(self._parts(self.split.findall(text)), "<i4")
-        words = text.replace("\n", " \n").split(" ")
-        memo = self.words
-        found = [memo.get(w) for w in words[1:]]
+    def _following(self, words: list[str]) -> list[bytes]:
+        """Ids of words that follow a space, or begin with a line feed in place of it."""
+        memo, older, split = self.words, self.older, self.split
+        found: list[bytes | None] = list(map(memo.get, words))
         if None in found:
-            older, missing, split = self.older, {}, self.split
+            missing: dict[int, list[str]] = {}
             for k, ids in enumerate(found):
                 if ids is None:
-                    w = words[k + 1]
+                    w = words[k]
                     if (ids := older.get(w)) is not None:
                         memo[w] = found[k] = ids
-                    elif w not in missing:
-                        missing[w] = split.findall(w if w[:1] == "\n" else " " + w)
-            self._pieces([p for p in {p: 0 for parts in missing.values() for p in parts} if p not in self.pieces])
-            for w, parts in missing.items():
-                missing[w] = ids = b"".join([self.pieces[p] for p in parts])
-                if len(w) <= MEMO_CHARS:
-                    memo[w] = ids
-            found = [(memo.get(w) or missing[w]) if ids is None else ids for w, ids in zip(words[1:], found)]
+                    else:
+                        missing[k] = split.findall(w if w[:1] == "\n" else " " + w)
+            pieces = self.pieces
+            self._pieces([p for p in dict.fromkeys(p for parts in missing.values() for p in parts) if p not in pieces])
+            for k, parts in missing.items():
+                found[k] = ids = b"".join([pieces[p] for p in parts])
+                if len(words[k]) <= MEMO_CHARS:
+                    memo[words[k]] = ids
             if len(memo) >= MEMO_WORDS:
                 self.older, self.words = memo, {}
-        return np.frombuffer(self._parts(self.split.findall(words[0])) + b"".join(found), "<i4")
+        return found
+
+    def encode_all(self, docs: list[str]) -> list[np.ndarray]:
+        """Token ids of whole texts. Words that follow single spaces are pre-tokens whatever stands around them, so equal ones of
+        a batch are encoded once; texts with other runs of white space are cut by the pattern itself."""
+        if len(self.pieces) > MEMO_WORDS or self.long > MEMO_CHARS * 25_000:
+            self.pieces.clear()
+            self.long = 0
+        out: list[np.ndarray | None] = [None] * len(docs)
+        plain = []
+        for k, text in enumerate(docs):
+            if _ODD.search(text):
+                out[k] = np.frombuffer(self._parts(self.split.findall(text)), "<i4")
+            else:
+                plain.append(k)
+        if plain:
+            lists = pc.split_pattern(pc.replace_substring(pa.array([docs[k] for k in plain], pa.large_string()), "\n", " \n"), " ")
+            words, starts = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()[:-1]
+            starts = starts - starts[0]
+            code, unique = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+            cut = [self.split.findall(unique[c]) for c in code[starts].tolist()]
+            self._pieces([p for p in dict.fromkeys(p for parts in cut for p in parts) if p not in self.pieces])
+            first = [b"".join([self.pieces[p] for p in parts]) for parts in cut]
+            known = self._following(unique) + first
+            code[starts] = len(unique) + np.arange(len(first))
+            ids, n = gathered(known, code, "<i4")
+            for k, own in zip(plain, np.split(ids, np.cumsum(np.add.reduceat(n, starts))[:-1])):
+                out[k] = own
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids of a whole text."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
         raw = self.raw
@@ -130,7 +159,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        found = [codec(ranks, pattern).encode(t) for t in texts(batch)]
+        found = codec(ranks, pattern).encode_all(texts(batch))
         flat = np.concatenate(found) if found else np.zeros(0, np.int32)
         return {"id": batch.column("id"), "ids": pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.array(flat.astype(np.int32)))}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,15 @@ def held(key, make: Callable):
     return _HELD[key]
 
 
+def gathered(known: list[bytes], code: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of `known[c]`, each an array as bytes, for every c of `code`, end to end, and how many each c gave."""
+    whole = np.frombuffer(b"".join(known), kind)
+    size = np.array(list(map(len, known)), np.int64) // np.dtype(kind).itemsize
+    n = size[code]
+    first = (np.cumsum(size) - size)[code]
+    return whole[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's texts, null as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

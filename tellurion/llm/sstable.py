@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held, materialize, pieces, scratch, texts
+from .common import gathered, held, materialize, pieces, scratch, texts
 from .tokens import byte_chars
 
 MAGIC, BLOCK_BYTES, PROBES, BITS_PER_KEY = b"TLRNSST1", 1 << 18, 7, 10
@@ -253,13 +253,8 @@ class WordEncoder:
             lowered, starts = part_starts(data[at:end])
             offsets = np.append(starts, end - at).astype(np.int64)
             parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(lowered)).dictionary_encode()
-            known = self._ids(parts.dictionary.to_pylist())
-            size = np.array(list(map(len, known)), np.int64) // self.width
-            code = parts.indices.to_numpy()
-            n = size[code]
-            whole = np.frombuffer(b"".join(known), self.kind)
-            first = (np.cumsum(size) - size)[code]
-            flat.append(whole[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            ids, n = gathered(self._ids(parts.dictionary.to_pylist()), parts.indices.to_numpy(), self.kind)
+            flat.append(ids)
             counts += np.bincount(np.searchsorted(limits, starts + at, "right"), n, len(docs)).astype(np.int64)
             at = end
         return np.split(np.concatenate(flat), np.cumsum(counts)[:-1]) if flat else []
