@@ -23,7 +23,7 @@ from .common import gathered, held, map_batches, texts
 from .tokens import byte_chars
 
 #: Words whose ids are kept per process, and letters of the longest kept; bounds of memory only.
-MEMO_WORDS, MEMO_CHARS = 200_000, 40
+MEMO_WORDS, MEMO_CHARS = 120_000, 40
 _ODD = re.compile(r"\s \s?| \s|\s\s")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,16 +18,45 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cols)
 
 
+#: Rows of an Arrow batch, unless the session names another number than Spark's own.
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: Spark's 10,000 rows a batch are much memory, on both sides of the pipe to Python."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: nothing to trim
+        return None
+
+
+def trim() -> None:
+    """Give freed memory of this process back to the machine, on which the JVM and other workers live too."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Smaller zero-copy slices, so that Python never holds a whole Arrow batch as objects."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        del batch
+        trim()
 
 
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: str, arrow: pa.Schema, rows: int = 512) -> DataFrame:
     """mapInArrow of `kernel` (slice -> columns) over every row; narrow, no shuffle."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, rows):
             cols = kernel(piece)
@@ -42,6 +73,7 @@ def held(key, make: Callable):
     worker that serves many stages and operators holds one at a time."""
     if key not in _HELD:
         _HELD.clear()
+        trim()
         _HELD[key] = make()
     return _HELD[key]
 
@@ -113,6 +145,8 @@ def fresh(df: DataFrame, name: str) -> str:
 def filter_rows(df: DataFrame, mask: Callable[[list[str]], list[bool]], text_col: str = "text", rows: int = 256) -> DataFrame:
     """The rows of `df`, all its columns, whose text passes `mask` (texts -> booleans; null as the empty text); no shuffle."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, rows):
             if piece.num_rows:

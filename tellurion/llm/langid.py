@@ -22,7 +22,7 @@ from .common import filter_rows, held, map_batches
 
 #: Documents per language a model is fitted on at most (about; those with the smallest hashes of their id).
 MAX_DOCS = 1500
-BUCKETS, ORDERS, PENALTY, MEMO_WORDS = 1 << 16, 4, 6.0, 300_000
+BUCKETS, ORDERS, PENALTY, MEMO_WORDS = 1 << 16, 4, 6.0, 200_000
 #: Words whose n-grams are computed at once, and letters of words that a memo may hold; bounds of memory only.
 WORDS, MEMO_LETTERS = 16_384, 6_000_000
 #: A letter with the letters and marks that follow it; joiners inside words belong to them too.

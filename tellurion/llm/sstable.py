@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, held, materialize, pieces, scratch, texts
+from .common import gathered, held, materialize, pieces, scratch, small_batches, texts
 from .tokens import byte_chars
 
 MAGIC, BLOCK_BYTES, PROBES, BITS_PER_KEY = b"TLRNSST1", 1 << 18, 7, 10
@@ -345,6 +345,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
         if writer:
             yield ended()
 
+    small_batches(spark=docs.sparkSession)
     written = dealt.select("id", "text").mapInArrow(write, "part int, file int, path string, n_docs long, n_ids long")
     every = Window.orderBy("part", "file")
     manifest = materialize(written, "manifest").withColumn("shard", F.row_number().over(every) - 1)
