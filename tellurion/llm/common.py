@@ -100,7 +100,7 @@ def fold(column: str, n: int):
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only a local session may leave it unset, for tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() or "")
-    if not path and not spark.sparkContext.master.startswith("local"):
+    if not path and spark.sparkContext.master.split("[")[0] != "local":  # local-cluster has executors of its own
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return path.rstrip("/") or "file:///tmp/checkpoints"
 
