@@ -89,7 +89,7 @@ def _count(labels: str, where: str, step: int = DAY, value: str = "count(*)", ex
 
 def _temporary(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     base = base or "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/tellurion-{name}-{uuid.uuid4().hex}"
