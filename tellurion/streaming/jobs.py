@@ -101,17 +101,17 @@ def accumulate(stream: DataFrame, path: str, checkpoint: str, signal: str, key:
     """Rows are held back until their key has `target_rows`, or its oldest row waited `max_age_ms`; then the key's rows become
     segments. Rows for which the SQL condition `at_once` holds do not wait.
 
-    What waits is a table per batch number below `path`/waiting, made from the one before, so a batch that runs again makes the
-    same table and segments again. A last call of `flush` writes what still waits.
+    What waits is a table per batch number below `path`/waiting, made from the one before, so a batch that runs again replaces
+    its own table and segments, both by the clock of that run. A last call of `flush` writes what still waits.
     """
     clock = now or (lambda: int(time.time() * 1000))
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, held = batch.sparkSession, f"{path}/waiting/batch={number - 1}"
-        fresh = batch.withColumn("_since", F.lit(clock()).cast("long"))
+        spark, held, at = batch.sparkSession, f"{path}/waiting/batch={number - 1}", clock()
+        fresh = batch.withColumn("_since", F.lit(at).cast("long"))
         every = fresh.unionByName(spark.read.schema(fresh.schema).parquet(held)) if number and _exists(spark, held) else fresh
         due = every.groupBy(key).agg(F.count("*").alias("_n"), F.min("_since").alias("_first"))
-        due = due.where((F.col("_n") >= target_rows) | (F.col("_first") <= clock() - max_age_ms)).select(F.col(key).alias("_due"))
+        due = due.where((F.col("_n") >= target_rows) | (F.col("_first") <= at - max_age_ms)).select(F.col(key).alias("_due"))
         passed = F.expr(at_once) if at_once else F.lit(False)
         marked = every.join(due, F.col(key).eqNullSafe(F.col("_due")), "left_semi").unionByName(every.join(due, F.col(key).eqNullSafe(F.col("_due")), "left_anti").where(F.coalesce(passed, F.lit(False))))
         ingest.write_segments(marked.drop("_since"), f"{path}/segments/batch={number}", signal, mode="overwrite")
