@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..plans.syntax import QueryError
 
 PARTIAL = ("v_sum", "v_count", "v_min", "v_max", "v_rows")
@@ -38,11 +39,15 @@ def bucket(ts: str | Column, step: int) -> Column:
 
 
 def step_partials(df: DataFrame, step: int, labels: list[str], sum_col: Column, count_col: Column, min_col: Column, max_col: Column, ts: str = "chq_timestamp") -> Vector:
-    """Sum, count, minimum, maximum and rows per step bucket and labels (one partial and one final aggregation)."""
-    out = df.groupBy(bucket(ts, step).alias("bucket_ts"), *[F.col(f"`{c}`") for c in labels]).agg(
-        F.sum(sum_col).cast("double").alias("v_sum"), F.sum(F.coalesce(count_col, F.lit(0))).cast("double").alias("v_count"), F.min(min_col).cast("double").alias("v_min"), F.max(max_col).cast("double").alias("v_max"),
-        F.count(count_col).cast("double").alias("v_rows"),
-    )
+    """Sum, count, minimum, maximum and rows per step bucket and labels (one partial and one final aggregation). Doubles add up
+    exactly, so that rounding and comparing a sum does not depend on the order of the rows."""
+    keys = {"bucket_ts": bucket(ts, step), **{c: F.col(f"`{c}`") for c in labels}}
+    more = {"v_count": (F.coalesce(count_col, F.lit(0)), F.sum), "v_min": (min_col, F.min), "v_max": (max_col, F.max), "v_rows": (count_col, F.count)}
+    if df.select(sum_col).dtypes[0][1] in ("double", "float"):
+        out = exact.summed(df, keys, sum_col, "v_sum", more)
+    else:
+        out = df.groupBy(*[c.alias(name) for name, c in keys.items()]).agg(F.sum(sum_col).alias("v_sum"), *[f(c).alias(name) for name, (c, f) in more.items()])
+    out = out.select("bucket_ts", *[F.col(f"`{c}`") for c in labels], *[F.col(c).cast("double").alias(c) for c in PARTIAL])
     return Vector(out, labels, raw=True)
 
 

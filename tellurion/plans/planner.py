@@ -126,7 +126,7 @@ class Planner:
                 df = df.where(F.col(UNWRAPPED).isNotNull())
                 one = F.col(UNWRAPPED)
             else:
-                one = F.length(F.coalesce(F.col(self.body), F.lit(""))).cast("double") if func.startswith("bytes") else F.lit(1.0)
+                one = F.length(F.coalesce(F.col(self.body), F.lit(""))) if func.startswith("bytes") else F.lit(1)
             labels = [c for c in self._labels(df, by, without) if c != UNWRAPPED]
             self._leaves[key] = self._shifted(V.step_partials(df, self.step, labels, one, F.lit(1), one, one), s)
         return self._leaves[key]
@@ -214,7 +214,7 @@ class Planner:
         binned = sketch.bins(df.withColumn("bucket_ts", V.bucket("chq_timestamp", self.step)), keys)
         if s.range_ms > self.step:
             # A bucket's bins count for each of the range's steps after it that have a window, and whose window reaches back to it.
-            one = F.lit(1.0)
+            one = F.lit(1)
             valid = V.windows(V.step_partials(df, self.step, labels, one, one, one, one), s.range_ms, self.step)
             moved = binned.withColumnRenamed("bucket_ts", "of").withColumn("bucket_ts", F.explode(F.expr(f"sequence(of, of + {s.range_ms - self.step}, {self.step})")))
             on = moved["bucket_ts"] == valid["bucket_ts"]

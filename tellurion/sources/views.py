@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exact
+
 CORE = {"chq_timestamp", "chq_tsns", "chq_id", "log_message", "bucket_ts"}
 
 
@@ -37,11 +39,13 @@ def logs(spark: SparkSession, sf_dir: str, message: str = "logfmt") -> DataFrame
 def metrics(spark: SparkSession, sf_dir: str, frequency: int = 10_000) -> DataFrame:
     """One metric, rolled up to `frequency` ms per event type and user."""
     source = events(spark, sf_dir).select(_millis().alias("t"), "event_type", "user_id", "value")
-    return (
-        source.groupBy((F.col("t") - F.pmod("t", F.lit(frequency))).alias("chq_timestamp"), "event_type", "user_id")
-        .agg(F.sum("value").alias("chq_rollup_sum"), F.count("*").alias("chq_rollup_count"), F.min("value").alias("chq_rollup_min"), F.max("value").alias("chq_rollup_max"))
-        .select("chq_timestamp", F.lit("event_value").alias("metric_name"), "event_type", F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string")).alias("resource_service_name"),
-                F.concat(F.lit("pod-"), F.col("user_id").cast("string")).alias("resource_k8s_pod_name"), "chq_rollup_sum", "chq_rollup_count", "chq_rollup_min", "chq_rollup_max")
+    rolled = exact.summed(
+        source, {"chq_timestamp": F.col("t") - F.pmod("t", F.lit(frequency)), "event_type": F.col("event_type"), "user_id": F.col("user_id")}, F.col("value"), "chq_rollup_sum",
+        {"chq_rollup_count": (F.lit(1), F.count), "chq_rollup_min": (F.col("value"), F.min), "chq_rollup_max": (F.col("value"), F.max)},
+    )
+    return rolled.select(
+        "chq_timestamp", F.lit("event_value").alias("metric_name"), "event_type", F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string")).alias("resource_service_name"),
+        F.concat(F.lit("pod-"), F.col("user_id").cast("string")).alias("resource_k8s_pod_name"), "chq_rollup_sum", "chq_rollup_count", "chq_rollup_min", "chq_rollup_max",
     )
 
 
