@@ -34,7 +34,9 @@ _SPANS = f"""spans AS (SELECT {_T} AS chq_timestamp, epoch_us(ts) * 1000 AS chq_
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
+    """Rounded as the SQL does it: halves away from zero of the scaled double, so 55.683749999999996 is 55.6838."""
+    scaled = lambda c: F.col(f"`{c}`") * 10.0**digits
+    return df.withColumns({c: F.when(F.abs(scaled(c)) < float("inf"), F.round(scaled(c)) / 10.0**digits).otherwise(F.col(f"`{c}`")) for c, t in df.dtypes if t == "double"})
 
 
 def _pq(query: str, step: int, start: int = START, end: int = END) -> Query:

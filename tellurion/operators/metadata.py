@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sketch
+from ..functions import exact, sketch
 from ..plans import syntax
 from ..plans.pipeline import apply_selector, condition_names, made, matcher_column, matches
 from ..plans.syntax import Aggregate, Binary, Call, Matcher, Number, QueryError, Selector, selectors
@@ -79,18 +79,20 @@ def summary(df: DataFrame, node, start: int, end: int, step: int, keep_series: b
         scoped = metric_scope(df.where((F.col("chq_timestamp") >= start) & (F.col("chq_timestamp") < end)), inner)
         labels = [c for c in (by if by is not None else label_columns(scoped)) if c in scoped.columns]
         if "value" in scoped.columns:
-            exact = scoped.groupBy(*labels).agg(F.count("value").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"))
+            plain = scoped.groupBy(*labels).agg(F.count("value").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"))
             tail = sketch.quantiles(sketch.bins(scoped, labels), labels, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
             if labels:
                 on = None
                 for c in labels:
-                    one = exact[c].eqNullSafe(tail[c])
+                    one = plain[c].eqNullSafe(tail[c])
                     on = one if on is None else on & one
-                out = exact.join(tail, on, "left").select(*[exact[c] for c in exact.columns], "p50", "p90", "p95", "p99")
+                out = plain.join(tail, on, "left").select(*[plain[c] for c in plain.columns], "p50", "p90", "p95", "p99")
             else:
-                out = exact.withColumn("_k", F.lit(1)).join(tail.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+                out = plain.withColumn("_k", F.lit(1)).join(tail.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
         else:
-            out = scoped.groupBy(*labels).agg(F.sum("chq_rollup_count").cast("long").alias("count"), F.sum("chq_rollup_sum").alias("sum"), F.min("chq_rollup_min").alias("min"), F.max("chq_rollup_max").alias("max"), F.try_divide(F.sum("chq_rollup_sum"), F.sum("chq_rollup_count")).alias("avg"))
+            more = {"count": (F.col("chq_rollup_count"), F.sum), "min": (F.col("chq_rollup_min"), F.min), "max": (F.col("chq_rollup_max"), F.max)}
+            sums = exact.summed(scoped, {c: F.col(f"`{c}`") for c in labels}, F.col("chq_rollup_sum"), "sum", more)
+            out = sums.select(*[F.col(f"`{c}`") for c in labels], F.col("count").cast("long").alias("count"), "sum", "min", "max", F.try_divide("sum", "count").alias("avg"))
     else:
         from ..plans.planner import Planner
 

@@ -13,9 +13,9 @@ BIG = [1e16, -1e16, 3e15, -3e15, 7e16, -7e16]
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def events(spark, folder, values):
+def events(spark, folder, values, user=lambda i: i):
     """An `events` table of one type, its rows 11 seconds apart on 2024-01-01."""
-    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=11 * i), i, "view", v, '{"k": 1}') for i, v in enumerate(values)]
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=11 * i), user(i), "view", v, '{"k": 1}') for i, v in enumerate(values)]
     spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/events.parquet")
     return folder
 
@@ -50,3 +50,11 @@ def test_rollups_of_the_metric_in_any_order(spark, tmp_path):
 
     (row,) = views.metrics(spark, tmp_path).collect()
     assert (row.chq_rollup_sum, row.chq_rollup_count, row.chq_rollup_min, row.chq_rollup_max) == (1.0, 3, -1e16, 1e16)
+
+
+@pytest.mark.parametrize("values, total, mean", [([7.3] * 40 + BIG, 292.0, 6.3478), ([50.0] * 54 + [200.0, 218.29], 3118.29, 55.6838)])
+def test_summary_filter_in_any_order(spark, tmp_path, values, total, mean):
+    """Sums that adding in some order loses, and a mean of 55.68375 that no double holds."""
+    random.Random(1).shuffle(values)
+    (row,) = catalog.queries()["summary_filter"](spark, events(spark, tmp_path, values, lambda i: 1)).collect()
+    assert (row.resource_k8s_pod_name, row["count"], row["sum"], row.avg) == ("pod-1", len(values), total, mean)
