@@ -12,7 +12,12 @@ _SIZES = {"b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "tb": 10**12, "pb": 10*
 def duration_seconds(text: Column) -> Column:
     """'1h30m', '250ms', '-2s' in seconds; a bare number counts as seconds; null where the text is neither."""
     t = F.trim(text.cast("string"))
-    parts = [F.coalesce(F.regexp_extract(t, rf"(?:^|[a-zµ-])([0-9.]+){u}(?![a-zµ])", 1).try_cast("double"), F.lit(0.0)) * F.lit(k) for u, k in _SECONDS.items()]
+    # a unit that the text lacks costs no expression, and casting no text would throw and catch an error
+    parts = []
+    for u, k in _SECONDS.items():
+        pattern = rf"(?:^|[a-zµ-])([0-9.]+){u}(?![a-zµ])"
+        number = F.when(t.contains(u) & F.regexp_like(t, F.lit(pattern)), F.regexp_extract(t, pattern, 1).try_cast("double"))
+        parts.append(F.coalesce(number, F.lit(0.0)) * F.lit(k))
     total = parts[0]
     for p in parts[1:]:
         total = total + p
@@ -24,7 +29,5 @@ def size_bytes(text: Column) -> Column:
     """'3MiB', '10 kB' in bytes, units in any case; a bare number counts as bytes; null where the text is neither."""
     t = F.lower(F.trim(text.cast("string")))
     number, unit = F.regexp_extract(t, r"^([0-9.]+)\s*([a-z]*)$", 1).try_cast("double"), F.regexp_extract(t, r"^([0-9.]+)\s*([a-z]*)$", 2)
-    factor = F.when(unit == "", F.lit(1.0))
-    for u, k in _SIZES.items():
-        factor = factor.when(unit == u, F.lit(float(k)))
-    return number * factor
+    factors = F.create_map(*[F.lit(x) for u, k in {"": 1, **_SIZES}.items() for x in (u, float(k))])
+    return number * F.try_element_at(factors, unit)

@@ -258,7 +258,9 @@ def apply_selector(df: DataFrame, selector: Selector, extra: tuple[str, ...] = (
         elif stage.kind == "unwrap":
             kind, name = stage.params
             column = F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
-            df = df.withColumn(UNWRAPPED, duration_seconds(column) if kind.startswith("duration") else size_bytes(column) if kind == "bytes" else column.try_cast("double"))
+            value = duration_seconds(column) if kind.startswith("duration") else size_bytes(column) if kind == "bytes" else column.try_cast("double")
+            # a generated column: filters and aggregates on it do not work out the parsing again, as those on a projection do
+            df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != UNWRAPPED], F.explode(F.array(value)).alias(UNWRAPPED))
         elif stage.kind == "drop":
             df = df.drop(*stage.params)
         elif stage.kind == "keep":

@@ -51,6 +51,21 @@ def test_units(spark):
     df = spark.createDataFrame([("3MiB",), ("10 kB",), ("7",), ("?",)], "v string")
     assert [r[0] for r in df.select(units.size_bytes(F.col("v"))).collect()] == [3 * 2**20, 10_000.0, 7.0, None]
 
+    texts = ["1.5h2m3s4ms5us6µs7ns", "-90s", "1.2.3s", "1d", "", " 4m ", "5x3s", "s", "\u0661s"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    assert [r[0] for r in df.select(units.duration_seconds(F.col("v"))).collect()] == [pytest.approx(5523.004011007, abs=1e-12), -90.0, 0.0, 1.0, None, 240.0, None, None, None]
+    df = spark.createDataFrame([(f"2{u}",) for u in ("", "b", "KB", "Mb", "gb", "tb", "pb", "eb", "kib", "gib", "tib", "pib", "eib", "xb")] + [(None,)], "v string")
+    assert [r[0] for r in df.select(units.size_bytes(F.col("v"))).collect()] == [2.0 * k for k in (1, 1, 10**3, 10**6, 10**9, 10**12, 10**15, 10**18, 2**10, 2**30, 2**40, 2**50, 2**60)] + [None, None]
+
+
+@pytest.mark.parametrize("unwrap", ["bytes(size)", "duration(size)", "size"])
+def test_unwrap_parses_a_line_once(spark, unwrap):
+    lines = spark.createDataFrame([(1, "ERROR", "a=1 size=3"), (2, "ERROR", "size=5"), (3, "ERROR", "size=?"), (4, "INFO", "a=1")], "chq_timestamp long, log_level string, log_message string")
+    df = Engine(logs=lines).logql(f'sum by (log_level) (min_over_time({{log_level=~".+"}} | logfmt | unwrap {unwrap} [10s]))', 0, 10_000, 10_000)
+    assert [tuple(r) for r in df.collect()] == [(0, "ERROR", 3.0)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("size=([^") == 1
+
 
 def test_validation(spark):
     assert metadata.validate_promql('sum by (pod) (m{a="x"})', {"metric_name": "m", "pod": "p", "a": "x"})["valid"]
