@@ -120,7 +120,8 @@ class Store:
 
     def rollup(self, upto: int = TIERS[-1]) -> list[int]:
         """Rebuild the coarser tiers of the days whose finer tier changed since; each tier from the one before."""
-        made = []
+        made: list[int] = []
+        own: set[int] = set()  # days whose series are known to be hashes of their labels, which rollups keep
         for fine, coarse in zip(TIERS, TIERS[1:]):
             if coarse > upto:
                 break
@@ -133,7 +134,9 @@ class Store:
                 continue
             inputs = [r[0] for r in live.where((F.col("frequency") == fine) & F.col("dateint").isin(days)).select("path").collect()]
             old = [r[0] for r in live.where((F.col("frequency") == coarse) & F.col("dateint").isin(days)).select("path").collect()]
-            rows = ingest.rollup(self.read(inputs).drop("hour"), coarse)
+            rows = self.read(inputs).drop("hour")
+            own |= set(days) if not own >= set(days) and ingest.own_series(rows) else set()
+            rows = ingest.rollup(rows, coarse, own=own >= set(days))
             made.append(self.commit(self._write(rows, "metrics", coarse, 1_000_000, None), old, now))
         return made
 

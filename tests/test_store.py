@@ -59,6 +59,24 @@ def test_tiers_by_day(spark, tmp_path):
     assert store.tiers(0, DAY, 3_600_000)[19700101] == 3_600_000
 
 
+def test_rollups_hash_their_groups(spark, tmp_path):
+    """Series that are hashes of their labels need no sort; ids from elsewhere keep the labels of the earliest row."""
+    samples = spark.createDataFrame([(0, "m", "a", 1.0), (11_000, "m", "a", 2.0), (12_000, "m", None, 4.0)], "chq_timestamp long, metric_name string, zone string, value double")
+    first = ingest.rollup(samples, 10_000, True)
+    chain = ingest.rollup_chain(samples, 60_000)
+    for df in (first, chain, ingest.rollup(first, 60_000, own=ingest.own_series(first))):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    key = lambda df: sorted(((r.chq_timestamp, r.zone, r.chq_rollup_sum, r.chq_rollup_count) for r in df.collect()), key=str)
+    assert key(first) == [(0, "a", 1.0, 1), (10_000, "a", 2.0, 1), (10_000, None, 4.0, 1)]
+    assert key(chain) == key(ingest.rollup(first, 60_000)) == [(0, "a", 3.0, 2), (0, None, 4.0, 1)]
+    foreign = samples.withColumn("chq_tid", F.lit(7).cast("long"))
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.ingest(foreign, "metrics")
+    assert not ingest.own_series(ingest.rollup(foreign, 10_000, True)) and len(store.rollup()) == 4
+    hourly = store.read([r.path for r in store.live().where("frequency = 3600000").collect()])
+    assert key(hourly) == [(0, "a", 7.0, 3)]
+
+
 def test_changes_are_whole(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     for part in range(3):
